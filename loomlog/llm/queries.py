@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import _common as c
-from loomlog.llm import bpe, decontaminate, token_files, url_filter, warc
+from loomlog.llm import bpe, decontaminate, jaccard_join, substring_dedup, token_files, url_filter, warc
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +25,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(c.table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = c.scratch(spark, "warc")
     manifest = warc.write(c.table(spark, sf_dir, "pages"), path)
     return warc.read(spark, manifest, path, keep_payload=False).drop("url")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(c.table(spark, sf_dir, "documents")).drop("kept")
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled page outcomes: a label's document id is the page's id; good is quality 1 without toxicity."""
     labels = c.table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
@@ -41,5 +49,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(c.table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_decontaminate, op6_warc, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_decontaminate, op5_jaccard_join, op6_warc, op9_substring_dedup, op10_url_filter)}
 ORACLE: dict[str, str] = {}
