@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import _common as c
-from loomlog.llm import bpe, decontaminate, jaccard_join, substring_dedup, token_files, url_filter, warc
+from loomlog.llm import bpe, decontaminate, jaccard_join, katz, substring_dedup, token_files, url_filter, warc
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, manifest, path, keep_payload=False).drop("url")
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(c.table(spark, sf_dir, "documents"), c.remainder("doc_id", 5) == 1)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(c.table(spark, sf_dir, "documents")).drop("kept")
 
@@ -49,5 +53,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(c.table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_decontaminate, op5_jaccard_join, op6_warc, op9_substring_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_decontaminate, op5_jaccard_join, op6_warc, op7_katz, op9_substring_dedup, op10_url_filter)}
 ORACLE: dict[str, str] = {}
