@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import _common as c
-from loomlog.llm import bpe, decontaminate, jaccard_join, katz, substring_dedup, token_files, url_filter, warc
+from loomlog.llm import bpe, decontaminate, jaccard_join, katz, quality, substring_dedup, token_files, url_filter, warc
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(c.table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY), keep_ids=False)
 
 
+#: A document is kept when label 1 has at least this share of its neighbours' votes.
+ACCEPT = 0.3
+
+
+def quality_space(spark: SparkSession, sf_dir: str) -> quality.Space:
+    """Learned from the labelled documents that are not held out."""
+    labels = c.table(spark, sf_dir, "labels").where(c.remainder("doc_id", 5) != 0)
+    return quality.fit(c.table(spark, sf_dir, "documents"), labels)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(c.table(spark, sf_dir, "documents"), quality_space(spark, sf_dir))
+    held = F.coalesce(c.remainder("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"), keep_spans=False)
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -53,5 +69,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(c.table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_decontaminate, op5_jaccard_join, op6_warc, op7_katz, op9_substring_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_quality, op4_decontaminate, op5_jaccard_join, op6_warc, op7_katz, op9_substring_dedup, op10_url_filter)}
 ORACLE: dict[str, str] = {}
