@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import _common as c
-from loomlog.llm import bpe, decontaminate, jaccard_join, katz, quality, substring_dedup, token_files, url_filter, warc
+from loomlog.llm import bpe, chroma, decontaminate, jaccard_join, katz, quality, substring_dedup, token_files, url_filter, warc
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,15 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(c.table(spark, sf_dir, "documents"), c.remainder("doc_id", 5) == 1)
 
 
+def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are the rows of embeddings; queries those whose id is divisible by 20. Matches of the queries' classes, and each query's class."""
+    prints = c.stored(chroma.fingerprint_vectors(c.table(spark, sf_dir, "embeddings")), c.scratch(spark, "chroma"))
+    asked = F.col("id") % 20 == 0
+    found = chroma.align(prints, asked)
+    queries = chroma.members(prints).where(asked).select(F.col("id").alias("query_id"), F.col("class").alias("query_class"))
+    return queries.join(found, "query_class").select("query_id", F.col("match_class").alias("match_id"), "offset", "votes", "overlap", "bit_errors")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(c.table(spark, sf_dir, "documents")).drop("kept")
 
@@ -69,5 +78,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(c.table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_quality, op4_decontaminate, op5_jaccard_join, op6_warc, op7_katz, op9_substring_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_quality, op4_decontaminate, op5_jaccard_join, op6_warc, op7_katz, op8_chroma, op9_substring_dedup, op10_url_filter)}
 ORACLE: dict[str, str] = {}
