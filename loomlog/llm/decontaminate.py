@@ -95,7 +95,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep_spans: bool = True) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items, contaminated, and with keep_spans the character spans of the hits.
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items, contaminated, text_key (xxhash64 of the text), and with keep_spans the character spans of the hits.
 
     A null or empty text has no words and hits nothing; a null or empty item
     has no window; items that share a window all count; a null item id counts
@@ -103,12 +103,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     one block there is no shuffle: documents are read once, where they lie.
     With several, the findings of a document (by id and text) are brought together.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     parts = None
     for number, block in enumerate(blocks(benchmark, item_col, item_text_col)):
         key = (window, number, xxhash.xxh3_128_hexdigest(repr(block).encode("utf-8", "surrogatepass")))
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        part = docs.mapInArrow(_scan(shared, key, window), "doc_id long, n_words long, word_spans array<array<int>>, items array<string>, char_spans array<array<int>>, text_key string, block int")
+        part = docs.mapInArrow(_scan(shared, key, window), "doc_id long, n_words long, word_spans array<array<int>>, items array<string>, char_spans array<array<int>>, text_key long, block int")
         parts = part if parts is None else parts.unionAll(part)
         several = number > 0
     if several:
@@ -118,12 +118,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         n_hit = F.size(F.filter(covered, lambda x: x.isNotNull()))
     else:
         n_hit = F.aggregate("word_spans", F.lit(0), lambda a, s: a + s[1] - s[0])
-    out = parts.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), (F.size("word_spans") > 0).alias("contaminated"), "char_spans")
+    out = parts.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), (F.size("word_spans") > 0).alias("contaminated"), "text_key", "char_spans")
     return out if keep_spans else out.drop("char_spans")
 
 
 def _scan(shared, key: tuple, window: int):
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.string(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = matcher(key, shared.value, window)
@@ -131,13 +131,13 @@ def _scan(shared, key: tuple, window: int):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc_id, text, text_key in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     n, spans, items = scanner.scan(text)
                     chars = []
                     if spans:
                         at = [m.span() for m in WORD.finditer(text)]
                         chars = [[at[a][0], at[b - 1][1]] for a, b in spans]
-                    rows.append((doc_id, n, [[*s] for s in spans], sorted(items), chars, xxhash.xxh3_128_hexdigest((text or "").encode("utf-8", "surrogatepass")), key[1]))
+                    rows.append((doc_id, n, [[*s] for s in spans], sorted(items), chars, text_key, key[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_words", "word_spans", "items", "char_spans", "text_key", "block"])
 
     return run

@@ -18,8 +18,9 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomlog.llm import _common as c
 
@@ -115,27 +116,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return Space([r.text for r in rows], [r.label for r in rows])
 
 
-def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, score (0 to 1), and the columns to keep.
+def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, score (0 to 1), and the column to keep, if one is given, as `row`.
 
     Empty, blank and null texts have no features and get the sample's share of
     label 1. Repeated rows and null ids stay as they are. No shuffle; labels and
     other columns are never read for a score.
     """
     shared = docs.sparkSession.sparkContext.broadcast(space)
+    names = [] if keep is None else ["row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
                 values = shared.value.score(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values), *(part.column(i) for i in range(2, part.num_columns))], ["doc_id", "score", *keep])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values), *(part.column(i) for i in range(2, part.num_columns))], ["doc_id", "score", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *keep)
-    kept = rows.select(*keep).schema if keep else None
-    schema = "doc_id long, score double"
-    if kept:
-        from pyspark.sql.types import StructType
-
-        schema = StructType([*StructType.fromDDL(schema).fields, *kept.fields])
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if keep is None else [keep.alias("row")]))
+    return rows.mapInArrow(run, StructType([*StructType.fromDDL("doc_id long, score double").fields, *rows.schema.fields[2:]]))

@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomlog.llm import _common as c
 
@@ -191,26 +192,32 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col:
     return spread.mapInArrow(_groups(window), "doc long, print long, low int, high int")
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            rows = []
-            for doc_id, text, spans in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                words = c.words_of(text)
-                keep = np.ones(len(words), bool)
-                for s in spans or ():
-                    keep[s["low"] : s["high"]] = False
-                kept = words if keep.all() else [w for w, k in zip(words, keep, strict=True) if k]
-                joined = b" ".join(kept)
-                changed = len(kept) < len(words)
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if changed else text))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+def _keep(columns: list[str]):
+    """Cuts the spans out of the texts; columns after the third pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                rows = []
+                for doc_id, text, spans in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    words = c.words_of(text)
+                    keep = np.ones(len(words), bool)
+                    for s in spans or ():
+                        keep[s["low"] : s["high"]] = False
+                    kept = words if keep.all() else [w for w, k in zip(words, keep, strict=True) if k]
+                    joined = b" ".join(kept)
+                    changed = len(kept) < len(words)
+                    rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if changed else text))
+                out = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*out, *(part.column(i) for i in range(3, part.num_columns))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *columns])
+
+    return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept.
+def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept, and the column to keep, if one is given, as `row`.
 
     kept is the text itself where nothing goes, else the words that stay,
     joined by a space. A null or blank text has no words; a text of fewer words
@@ -218,6 +225,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     at equal starts none is earlier. Rows with a null id are one document after
     all others. Further columns are not read. Suffix rows are shuffled once, texts once, to meet their intervals.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("print", F.xxhash64("text"))
+    more = [] if keep is None else [keep.alias("row")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    schema = StructType([*StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string").fields, *rows.schema.fields[2:]])
+    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("print", F.xxhash64("text"))
     spans = repeats(docs, window, min(PREFIX, window), id_col, text_col).groupBy("doc", "print").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return rows.join(spans, ["doc", "print"], "left").select("doc_id", "text", "spans").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    names = ["row"] * len(more)
+    return rows.join(spans, ["doc", "print"], "left").select("doc_id", "text", "spans", *names).mapInArrow(_keep(names), schema)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm import _common as c
+
 #: Rules of the query: (host and path, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: A host is blocked when posterior mean + BOUND_SDS standard deviations is below FLOOR.
@@ -70,7 +72,8 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, fl
     Counts are aggregated host by host first, so a frequent host is one row
     before anything else moves. Without outcomes the tables are empty and the rate is 1.
     """
-    hosts = outcomes.where("good IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    counts = outcomes.where("good IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
+    hosts = c.stored(counts, c.scratch(outcomes.sparkSession, "hosts")).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     rate = hosts.agg((F.sum("good") / F.sum("n")).alias("rate")).first().rate
     rate = 1.0 if rate is None else float(rate)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))

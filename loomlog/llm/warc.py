@@ -28,7 +28,7 @@ WARC_BYTES = 64_000_000
 #: Payloads below this many bytes are always written whole.
 REVISIT_FROM = 1000
 #: Records aimed at for each range.
-RECORDS_PER_RANGE = 20_000
+RECORDS_PER_RANGE = 5_000
 #: Fixed values of the format: version line, revisit profile, and the date written for all records.
 VERSION, PROFILE, DATE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
