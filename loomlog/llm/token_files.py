@@ -18,9 +18,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,9 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: The bounded sample that the dictionary is trained on, and the dictionary's size.
 DICTIONARY_DOCS, DICTIONARY_CLIP, DICTIONARY_BYTES = 1000, 4096, 65536
 #: Documents aimed at for each file, so that a file stays some 10 to 100 MB.
-DOCS_PER_FILE = 20_000
-CACHE_WORDS = 500_000
+DOCS_PER_FILE = 10_000
+#: Words kept in the cache of one Python worker; it is emptied when full.
+CACHE_WORDS = 600_000
 MAGIC, HEAD, FOOT = b"LMTK", "<4sI32s", "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4"), ("crc", "<u4")])
 
@@ -45,7 +49,9 @@ class Encoder:
 
     The vocabulary drops white space, and neither its normaliser nor its
     pattern joins text across ASCII white space, so a text's ids are those of
-    its words in a row. Words not seen before go to the library in one batch.
+    its words in a row. It also lower-cases, and starts a token where a comma or
+    full stop follows a letter, so words are looked up in lower case and
+    apart from that sign. New words go to the library in one batch. A text that may hold a special token goes to the library whole.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -56,26 +62,57 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.word_ends = None
+        if suffix:  # the last id of a word shows that the word ends
+            self.word_ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.word_ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        plain = [w for w in new if PLAIN.fullmatch(w)] if self.word_ends is not None else []
+        for start in range(0, len(plain), 1000):
+            part = plain[start : start + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = [0, *(4 * (np.flatnonzero(self.word_ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            self.cache.update(zip(part, [raw[a:b] for a, b in pairwise(ends)], strict=True))
+        rest = [w for w in new if w not in self.cache]
+        for start in range(0, len(rest), 10_000):
+            part = rest[start : start + 10_000]
+            self.cache.update(zip(part, self.batch([w.decode("utf-8", "surrogatepass") for w in part]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.translate(SPACES).split(" ") if t else [] for t in texts]
+        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        split = [[] if b"<|" in x else AFTER_LETTER.sub(rb"\1 \2", x.lower()).split() for x in raw]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = [*{w for ws in split for w in ws} - self.cache.keys()]
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(found.ids, "<u4").tobytes()
-        at = self.cache.__getitem__
-        out = [b"".join(map(at, ws)) + self.end for ws in split]
-        for word in [w for w in new if len(w) > 256]:
-            del self.cache[word]
+        get = self.cache.get
+        found = [[*map(get, ws)] for ws in split]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        if lacking:
+            new = [*{w for i in lacking for w, ids in zip(split[i], found[i], strict=True) if ids is None}]
+            self.learn(new)
+            for i in lacking:
+                found[i] = [get(w) if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
+        out = [b"".join(ids) + self.end for ids in found]
+        for i, x in enumerate(raw):
+            if b"<|" in x:
+                out[i] = self.batch([texts[i]])[0] + self.end
+        if any(len(t or "") > 100_000 for t in texts):  # long words do not stay
+            self.cache = {w: ids for w, ids in self.cache.items() if len(w) <= 256}
         return out
 
 
-#: ASCII white space, all written as a space.
-SPACES = {i: " " for i in (9, 10, 11, 12, 13)}
+#: A letter (ASCII or Latin-1) and a sign after it; the apostrophe of a contraction belongs to a token with letters.
+LETTER = rb"[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+AFTER_LETTER = re.compile(rb"(" + LETTER + rb")([!-&(-/:-@\[-`{-~])")
+#: Words that are one token to the pattern.
+PLAIN = re.compile(rb"(?:" + LETTER + rb")+")
 _encoders: dict[tuple, Encoder] = {}
 
 
