@@ -5,12 +5,13 @@ class, and only classes are compared. Under a global order of the shingles, two
 sets of similarity t or more share a shingle among the first
 |x| - ceil(t |x|) + 1 of each. The first order puts rare shingles first, by a
 count sketch of all documents (fixed size; it only orders, so its collisions
-cost work and never a link); its prefix is SHARED - 1 longer, so that SHARED
-common shingles can be asked for. Pairs that pass must also share a prefix
-shingle under each of the hash orders before their sets are compared exactly.
+cost work and never a link), and the place of the first common shingle bounds
+what can be common. Pairs that pass must also share a prefix shingle under
+each of the hash orders before their sets are compared exactly.
 
-Groups of copies never become all their pairs. Neighbours in the sorted lists
-of a shingle are compared first and joined to components; then only pairs whose
+Groups of copies never become all their pairs. In the sorted lists of a
+shingle, neighbours are compared first, and every class with the list's most
+central one, and joined to components; then only pairs whose
 classes lie in different components come out of the lists. Every pair of
 similarity t or more is thus compared or already connected, so components
 are exact, and the links returned suffice to make them.
@@ -31,13 +32,13 @@ from pyspark.sql.window import Window
 from loomlog.llm import _common as c
 from loomlog.llm.components import components
 
-WORDS, PERCENT, SHARED = 5, 80, 4
-#: Cells of the count sketch, and the parts in which it is added up. 2^22 cells of a byte are broadcast: 4 MB whatever the input.
-SKETCH_BITS, SKETCH_PARTS = 22, 64
+WORDS, PERCENT = 5, 80
+#: Cells of the count sketch, and the parts in which it is added up. 2^24 cells of a byte are broadcast: 16 MB whatever the input.
+SKETCH_BITS, SKETCH_PARTS = 24, 64
 #: Seeds of the hash orders that follow the first.
 ORDERS = (0x51ED270B, 0x2545F491)
-#: Neighbours of a class, by most prefix shingles shared, that the first round compares.
-NEIGHBOURS = 3
+#: Neighbours of a class, by most prefix shingles shared, that the first round compares, and shingles they must share (a fifth of a short prefix does).
+NEIGHBOURS, SHARED = 3, 4
 #: Parts that the rows of one class are spread over when they meet its component.
 SALT = 8
 
@@ -78,6 +79,11 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).astype(np.int64))
 
 
+def count(sketch: np.ndarray, cells: list[np.ndarray]) -> None:
+    found, times = np.unique(np.concatenate(cells), return_counts=True)
+    sketch[found.astype(np.int64)] += times.astype(np.uint32)
+
+
 def _profile(words: int):
     """Kind 0: doc_id, size and class of each row. Kind 1: this task's part of the sketch."""
 
@@ -94,12 +100,12 @@ def _profile(words: int):
                 waiting.append(tokens >> shift)
                 size += len(tokens)
                 if size > 1_000_000:
-                    sketch += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                    count(sketch, waiting)
                     waiting, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         if waiting:
-            sketch += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            count(sketch, waiting)
         shrink = zstandard.ZstdCompressor(level=1)
         for part, cells in enumerate(sketch.reshape(SKETCH_PARTS, -1)):
             if cells.any():
@@ -122,18 +128,16 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rare_prefix(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens in the order of (sketched count, hash), SHARED - 1 more than one common token needs."""
+    """The first tokens in the order of (sketched count, hash), as many as one common token needs."""
     n = len(tokens)
     need = least_overlap(n, percent)
-    k = n - need + min(SHARED, need)
-    if k >= n:
-        return tokens
+    k = n - need + 1
     level = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     return tokens[np.lexsort((c.mix(tokens), level))[:k]]
 
 
 def _postings(shared, words: int, percent: int):
-    """(token, n, cls) of the prefix of each class that occurs in this task, once."""
+    """(token, n, cls, pos) of the prefix of each class that occurs in this task, once; pos is the token's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
@@ -150,46 +154,58 @@ def _postings(shared, words: int, percent: int):
                         classes.append(cls)
                         lengths.append(len(prefix))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.repeat(np.array(classes, np.int64), lengths))], ["token", "n", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.repeat(np.array(classes, np.int64), lengths)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]))], ["token", "n", "cls", "pos"])
 
     return run
 
 
-def _neighbours(percent: int):
-    """Over rows sorted by (token, n, cls). Kind 0: pairs of neighbours in a list and the lists they are neighbours in. Kind 1: the lists of two classes or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 3
-
-        def out(token: np.ndarray, n: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-            token, n, cls = token[fresh], n[fresh], cls[fresh]
-            same = token[1:] == token[:-1]
-            many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            token, n, cls = token[many], n[many], cls[many]
-            if not len(token):
-                return
-            start = np.concatenate([[True], token[1:] != token[:-1]])
-            here = np.flatnonzero(~start)
-            first = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
-            pairs = []
-            for other in (here - 1, first[here]):
-                near = 100 * n[other] >= percent * n[here]
-                pairs.append(np.stack([cls[other[near]], cls[here[near]]], 1))
-            pairs, counts = np.unique(np.concatenate(pairs), axis=0, return_counts=True) if sum(map(len, pairs)) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            for kind, columns in ((0, (pairs[:, 0], pairs[:, 1], counts)), (1, (token, cls, n))):
-                if len(columns[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in columns)], ["kind", "x", "y", "z"])
+def whole_lists(columns: int):
+    """Batches of rows sorted by their first column, cut so that no list of equal first values is split."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        kept = [np.zeros(0, np.int64)] * columns
         for batch in batches:
             rows = [np.concatenate([k, batch.column(i).to_numpy().astype(np.int64)]) for i, k in enumerate(kept)]
             last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0  # the last list may go on
             kept = [x[last:] for x in rows]
             if last:
-                yield from out(*(x[:last] for x in rows))
+                yield [x[:last] for x in rows]
         if len(kept[0]):
-            yield from out(*kept)
+            yield kept
+
+    return cut
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (token, n, cls) those of tokens with two classes or more, each class once."""
+    for token, n, cls, pos in whole_lists(4)(batches):
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        token, n, cls, pos = token[fresh], n[fresh], cls[fresh], pos[fresh]
+        same = token[1:] == token[:-1]
+        many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, n, cls, pos)], ["token", "n", "cls", "pos"])
+
+
+def _neighbours(percent: int):
+    """Over lists sorted by (token, n, cls), with how central each class is: pairs of neighbours, and of each class with the list's most central one; and the lists they share so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, n, cls, central in whole_lists(4)(batches):
+            start = np.concatenate([[True], token[1:] != token[:-1]])
+            here = np.flatnonzero(~start)
+            heads = np.flatnonzero(start)
+            top = np.repeat(np.maximum.reduceat(central, heads), np.diff(np.append(heads, len(token))))
+            at = np.where(central == top, np.arange(len(token)), len(token))
+            hub = np.repeat(np.minimum.reduceat(at, heads), np.diff(np.append(heads, len(token))))
+            pairs = []
+            for one, other in ((here, here - 1), (np.arange(len(token)), hub)):
+                a, b = np.minimum(n[one], n[other]), np.maximum(n[one], n[other])
+                near = (one != other) & (100 * a >= percent * b)
+                pairs.append(np.stack([cls[other[near]], cls[one[near]], n[one[near]]], 1))
+            pairs, counts = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(counts), pa.array(pairs[:, 2])], ["a", "b", "lists", "n"])
 
     return run
 
@@ -253,23 +269,31 @@ class JaccardJoin:
 
     def links(self) -> DataFrame:
         """Links that connect every component: (a, b), least documents of their classes."""
-        postings = self.docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(self.levels, self.words, self.percent), "token long, n int, cls long")
+        postings = self.docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_postings(self.levels, self.words, self.percent), "token long, n int, cls long, pos int")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        lists = postings.repartition(n, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(_neighbours(self.percent), "kind int, x long, y long, z long")
-        lists = c.stored(lists, f"{self.folder}/lists", "kind")
-        near = lists.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("z").alias("lists"))
-        near = near.where(F.col("lists") >= SHARED).withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("lists"), "a"))).where(F.col("place") <= NEIGHBOURS)
+        lists = postings.repartition(n, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(_lists, "token long, n long, cls long, pos long")
+        # a class most of whose prefix others share is the middle of its group: copies of it differ from each other more than from it
+        length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
+        ranked = lists.withColumn("central", (1_000_000 * F.count(F.lit(1)).over(Window.partitionBy("cls")) / length).cast("long"))
+        ranked = c.stored(ranked, f"{self.folder}/lists")
+        near = ranked.select("token", "n", "cls", "central").repartition(n, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(_neighbours(self.percent), "a long, b long, lists long, n long")
+        near = near.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.first("n").alias("n"))
+        near = near.where((F.col("lists") >= SHARED) | (5 * F.col("lists") >= F.col("n") / 5)).withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("lists"), "a"))).where(F.col("place") <= NEIGHBOURS)
+        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         first = self.check(near.select("a", "b"), "near")
         labels = components(first)
         label_of = self.classes.select("cls", F.col("doc").alias("node")).join(labels, "node").join(self.classes.select(F.col("doc").alias("component"), F.col("cls").alias("label")), "component").select("cls", "label")
-        rows = lists.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("cls"), F.col("z").alias("n")).join(label_of, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        rows = ranked.drop("central").join(label_of, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         rows = c.stored(rows, f"{self.folder}/labelled")
         mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
         rows = rows.join(mixed, "token")
-        left, right = rows.select("token", *(F.col(x).alias(f"{x}_a") for x in ("cls", "n", "label"))), rows.select("token", *(F.col(x).alias(f"{x}_b") for x in ("cls", "n", "label")))
-        crossing = left.join(right, "token").where((F.col("label_a") != F.col("label_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))) & (100 * F.col("n_a") >= self.percent * F.col("n_b")))
-        need = F.least(F.lit(SHARED), F.ceil(F.col("n_a") * self.percent / 100))
-        crossing = crossing.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first(need).alias("need")).where("shared >= need")
+        both = F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / (100 + self.percent))
+        left, right = (rows.select("token", *(F.col(x).alias(f"{x}_{side}") for x in ("cls", "n", "label", "pos"))) for side in "ab")
+        smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
+        # if this is the first common shingle, no more than the shorter rest can be common
+        most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        crossing = left.join(right, "token").where((F.col("label_a") != F.col("label_b")) & smaller & (100 * F.col("n_a") >= self.percent * F.col("n_b")) & (most >= both))
+        crossing = crossing.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
         return first.unionAll(self.check(crossing.select("a", "b"), "crossing"))
 
 
