@@ -56,12 +56,20 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings are the rows of embeddings; queries those whose id is divisible by 20. Matches of the queries' classes, and each query's class."""
+    """Recordings are the rows of embeddings; queries those whose id is divisible by 20. One row per query.
+
+    n_matches counts the recordings that match, itself and copies included;
+    class_id is the least of them; best_id is the other class that differs in
+    the fewest bits (null without one), and how it aligns.
+    """
     prints = c.stored(chroma.fingerprint_vectors(c.table(spark, sf_dir, "embeddings")), c.scratch(spark, "chroma"))
     asked = F.col("id") % 20 == 0
-    found = chroma.align(prints, asked)
-    queries = chroma.members(prints).where(asked).select(F.col("id").alias("query_id"), F.col("class").alias("query_class"))
-    return queries.join(found, "query_class").select("query_id", F.col("match_class").alias("match_id"), "offset", "votes", "overlap", "bit_errors")
+    members = c.stored(chroma.members(prints), c.scratch(spark, "chroma"))
+    found = chroma.align(prints, asked).join(members.groupBy(F.col("class").alias("match_class")).agg(F.count(F.lit(1)).alias("copies")), "match_class")
+    other = F.when(F.col("match_class") != F.col("query_class"), F.struct((F.col("bit_errors") / F.col("overlap")).alias("error"), F.col("match_class").alias("id"), "offset", "votes", "overlap", "bit_errors"))
+    told = found.groupBy("query_class").agg(F.sum("copies").alias("n_matches"), F.min("match_class").alias("class_id"), F.min(other).alias("best"))
+    queries = members.where(asked).select(F.col("id").alias("query_id"), F.col("class").alias("query_class"))
+    return queries.join(told, "query_class").select("query_id", "n_matches", "class_id", F.col("best.id").alias("best_id"), *(F.col(f"best.{x}").alias(x) for x in ("offset", "votes", "overlap", "bit_errors")))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
