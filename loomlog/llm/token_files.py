@@ -6,7 +6,7 @@ every document of the table is encoded and written. Layout of a file:
 
     "LMTK" | version u32 | SHA-256 of the dictionary (32 bytes)
     frames, one for each document, in ascending document id
-    index: n x (document id i64, offset u64, ids u32, crc32 u32)
+    index: n x (document id i64, offset u64, ids u32, crc32 u32, id known u8)
     n u64 | offset of the index u64 | "LMTK"
 
 Ids are little-endian unsigned 32-bit integers. A reader finds a document by
@@ -41,7 +41,7 @@ DOCS_PER_FILE = 10_000
 #: Words kept in the cache of one Python worker; it is emptied when full.
 CACHE_WORDS = 600_000
 MAGIC, HEAD, FOOT = b"LMTK", "<4sI32s", "<QQ4s"
-INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4"), ("crc", "<u4")])
+INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4"), ("crc", "<u4"), ("known", "u1")])
 
 
 class Encoder:
@@ -130,8 +130,8 @@ def train(docs: DataFrame, vocabulary: str, end_id: int | None) -> bytes:
     samples = [x[:DICTIONARY_CLIP] for x in Encoder(vocabulary, end_id).encode([r.text for r in rows.collect()])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[:DICTIONARY_BYTES]
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[:DICTIONARY_BYTES].ljust(8, b"\0")
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
@@ -140,8 +140,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
     Rows are range-partitioned by id; each partition writes one file under a
     temporary name, renamed when whole, so a lost executor's task repeats
     without harm. The driver then commits dictionary and manifest. A null text
-    is empty and has the end id alone; rows with a null id are not documents
-    and raise; repeated ids are written in turn, as they stand. One shuffle, of the rows.
+    is empty and has the end id alone; rows with a null id come first, and are
+    found by reading in turn only; repeated ids are written in turn, as they
+    stand. One shuffle, of the rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -163,10 +164,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
                     part = batch.slice(start, 256)
                     frames = []
                     for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
-                        if doc_id is None:
-                            raise ValueError(f"{id_col} is null")
                         frames.append(frame := shrink.compress(ids))
-                        index.append((doc_id, at, len(ids) // 4, zlib.crc32(ids)))
+                        index.append((doc_id or 0, at, len(ids) // 4, zlib.crc32(ids), doc_id is not None))
                         at += len(frame)
                     yield b"".join(frames)
             yield np.array(index, INDEX).tobytes()
@@ -182,7 +181,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_
 
         name = f"part-{TaskContext.get().partitionId():06d}.tok"
         size = c.write_file(path, name, chunks())
-        yield pa.RecordBatch.from_pylist([{"file": name, "docs": len(index), "ids": sum(x[2] for x in index), "first_doc_id": index[0][0], "bytes": size}], schema=pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first_doc_id", pa.int64()), ("bytes", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"file": name, "docs": len(index), "ids": sum(x[2] for x in index), "first_doc_id": index[0][0] if index[0][4] else None, "bytes": size}], schema=pa.schema([("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first_doc_id", pa.int64()), ("bytes", pa.int64())]))
 
     parts = files or max(spark.sparkContext.defaultParallelism, docs.count() // DOCS_PER_FILE + 1)
     written = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "file string, docs long, ids long, first_doc_id long, bytes long").collect()
@@ -218,6 +217,7 @@ class Reader:
             raise ValueError(f"{name} is not a token file, or was written with another dictionary")
         self.index = np.frombuffer(self.file.read_at(n * INDEX.itemsize, at), INDEX)
         self.ends = np.append(self.index["offset"][1:], at)
+        self.unknown = int((self.index["known"] == 0).sum())
         self.expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
 
     def at(self, i: int) -> bytes:
@@ -229,7 +229,7 @@ class Reader:
         return ids
 
     def document(self, doc_id: int) -> np.ndarray | None:
-        i = int(np.searchsorted(self.index["doc_id"], doc_id))
+        i = self.unknown + int(np.searchsorted(self.index["doc_id"][self.unknown :], doc_id))
         return np.frombuffer(self.at(i), "<u4") if i < len(self.index) and self.index["doc_id"][i] == doc_id else None
 
 
@@ -245,7 +245,7 @@ def read(manifest: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
                     rows = []
                     for i in range(low, min(low + 256, len(reader.index))):
                         ids = reader.at(i)
-                        rows.append((int(reader.index["doc_id"][i]), start, len(ids) // 4, zlib.crc32(ids), np.frombuffer(ids, "<u4") if keep_ids else None))
+                        rows.append((int(reader.index["doc_id"][i]) if i >= reader.unknown else None, start, len(ids) // 4, zlib.crc32(ids), np.frombuffer(ids, "<u4") if keep_ids else None))
                         start += len(ids) // 4
                     columns = [pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True))[: 4 + keep_ids], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())], strict=False)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + keep_ids])

@@ -75,7 +75,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     A null payload is empty, a null url an empty target; a null id sorts first
     and is written with an empty id. Rows that share an id are all written;
-    where the shared id is a payload's largest, all its rows respond. The
+    where the shared id is a payload's largest, all its rows respond. A payload
+    is revisited only where two known ids have it. The
     payloads are shuffled once, into their ranges, together with the small rows that say how to write them.
     """
     spark = pages.sparkSession
