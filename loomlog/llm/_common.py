@@ -7,6 +7,8 @@ the contracts without a regular expression.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -45,7 +47,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Writes df as Parquet and rereads it: cuts the lineage with copies that survive a lost executor."""
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -73,6 +75,13 @@ def write_file(uri: str, name: str, chunks: Iterator[bytes]) -> int:
     return size
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker stays for later tasks, and should not keep what a large group took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 

@@ -114,7 +114,10 @@ def _chunks(folder: str, buckets: int):
             ids = np.array([0 if i is None else i for i, *_ in docs], np.int64)
             known = np.array([i is not None for i, *_ in docs])
             c.write_file(folder, name, iter([pack(ids=ids, known=known, held=held, lengths=lengths.astype(np.uint32), words=words, tokens=tokens.astype(np.uint32), counts=counts.astype(np.uint32))]))
+            docs.clear()
+            del tokens, train, lengths, held, ids, known
             yield from requests(name, bucket_of(words, buckets), lambda a, b: pack(words=words[a:b], counts=counts[a:b].astype(np.uint32)))
+            c.release()
 
         docs, size = [], 0
         for batch in batches:
@@ -151,6 +154,18 @@ ANSWER = "chunk string, bucket int, blob binary, stats array<long>"
 KINDS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
+def released(run):
+    """The function, with what it freed given back after each group."""
+
+    def group(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            c.release()
+
+    return group
+
+
 def _count(key: tuple, table: pa.Table) -> pa.Table:
     """One bucket of words: each chunk's answer (training count, and whether no other chunk has the word), and the bucket's sums in the row without a chunk."""
     asked = [unpack(x.as_py()) for x in table.column("blob")]
@@ -175,10 +190,14 @@ class Pairs:
         first = np.empty(len(self.tokens), np.int64)
         first[1:] = self.tokens[:-1]
         first[np.cumsum(self.lengths) - self.lengths] = size - 1
-        pairs, self.inverse = np.unique(first * size + self.tokens, return_inverse=True)
-        self.h, self.w = pairs // size, pairs % size
+        first *= size
+        first += self.tokens
+        pairs, inverse = np.unique(first, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        self.h, self.w = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
+        del first, pairs, inverse
         train = np.repeat(~chunk["held"], self.lengths)
-        self.counts = np.bincount(self.inverse[train], minlength=len(pairs))
+        self.counts = np.bincount(self.inverse[train], minlength=len(self.h))
         self.hashes = np.append(chunk["words"], START)
         self.totals = np.append(totals.astype(np.int64), model.docs)
         self.hot = self.totals > max(1, model.total // HOT_PARTS)
@@ -330,11 +349,11 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     buckets = max(16, size.n // DOCS_PER_BUCKET)
     folder = c.scratch(spark, "katz")
     asked = rows.mapInArrow(_chunks(f"{folder}/chunks", buckets), REQUEST)
-    words = c.stored(asked.groupBy("bucket").applyInArrow(_count, ANSWER), f"{folder}/words")
+    words = c.stored(asked.groupBy("bucket").applyInArrow(released(_count), ANSWER), f"{folder}/words")
     stats = np.array([r.stats for r in words.where("chunk IS NULL").select("stats").collect()], np.int64).reshape(-1, CUTOFF + 3).sum(0)  # a row for each bucket
     model = Unigrams(int(stats[0]), int(stats[1]), stats[2:], int(size.train))
-    asked = words.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(_ask_pairs(f"{folder}/chunks", buckets, model), ANSWER)
-    pairs = c.stored(asked.groupBy("bucket").applyInArrow(_count_pairs(model), ANSWER), f"{folder}/pairs")
+    asked = words.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(released(_ask_pairs(f"{folder}/chunks", buckets, model)), ANSWER)
+    pairs = c.stored(asked.groupBy("bucket").applyInArrow(released(_count_pairs(model)), ANSWER), f"{folder}/pairs")
     told = pairs.where("chunk IS NULL").select("blob", "stats").collect()  # a row for each bucket, with at most 2 HOT_PARTS first words in all
     d = discounts(np.sum([r.stats for r in told], 0, dtype=np.int64) if told else np.zeros(CUTOFF + 1, np.int64))
     hot = [unpack(bytes(r.blob)) for r in told if r.blob]
@@ -344,4 +363,4 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         np.add.at(sums, inverse, np.concatenate([x["sums"] for x in hot]))
     shared = spark.sparkContext.broadcast((hashes, sums))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return pairs.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(_score(f"{folder}/chunks", buckets, model, d, shared), schema)
+    return pairs.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(released(_score(f"{folder}/chunks", buckets, model, d, shared)), schema)
