@@ -117,6 +117,7 @@ def compile_body(catalog: Catalog, body: tuple[s.Literal, ...], strict: bool = F
     the body. Comparisons may assign (`X = 3`), calls bind their result. A
     variable that only a comparison, call or negation mentions is an error.
     """
+    body = tuple(builtin(catalog, x) for x in body)
     atoms = [(i, x) for i, x in enumerate(body) if isinstance(x, s.Atom)]
     for _, atom in atoms:
         check_terms(atom, strict)
@@ -139,6 +140,19 @@ def compile_body(catalog: Catalog, body: tuple[s.Literal, ...], strict: bool = F
     return bound
 
 
+def builtin(catalog: Catalog, node: s.Literal) -> s.Literal:
+    """An atom of a built-in predicate as the call or comparison it stands for."""
+    if not isinstance(node, s.Atom) or (node.predicate, node.arity) not in catalog.builtins:
+        return node
+    name, returns, test = catalog.builtins[node.predicate, node.arity]
+    if test:
+        return s.Call(name, node.terms, returns)
+    result = node.terms[-1]
+    if isinstance(result, s.Variable):
+        return s.Call(name, node.terms[:-1], returns, result)
+    return s.Call(name, node.terms[:-1], returns, s.Variable("_") if isinstance(result, s.Wildcard) else result)
+
+
 def apply(catalog: Catalog, node: s.Literal, place: int, bound: Bound, strict: bool, rows: DataFrame | None) -> Bound | None:
     """A literal that is not an atom; None while variables are missing that it needs."""
     have = set(bound.columns)
@@ -158,6 +172,10 @@ def apply(catalog: Catalog, node: s.Literal, place: int, bound: Bound, strict: b
         made = call(node.name, [value(a, bound) for a in node.args], node.returns)
         if node.result is None:
             return Bound(bound.rows.where(made), bound.columns)
+        if isinstance(node.result, s.Constant):
+            return Bound(bound.rows.where(made == F.lit(node.result.value)), bound.columns)
+        if node.result.name == "_":
+            return bound
         if node.result.name in have:
             return Bound(bound.rows.where(made == F.col(bound.columns[node.result.name])), bound.columns)
         return Bound(bound.rows.withColumn(f"s{place}_v", made), bound.columns | {node.result.name: f"s{place}_v"})

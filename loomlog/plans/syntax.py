@@ -94,7 +94,7 @@ class Call:
     name: str
     args: tuple[Term, ...]
     returns: str = "unknown"
-    result: Variable | None = None
+    result: Variable | Constant | None = None
     span: Span | None = _span()
 
 

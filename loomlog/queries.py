@@ -156,7 +156,7 @@ register("comparison_assignment", ask('region(k, name), tag = "checked", other =
 _nation = logical.Scan("nation", 3, "n")
 _key, _region, _label = Col("n.n_nationkey"), Col("n.n_regionkey"), Col("n.n_name")
 register("bool_and_or_not", plan(logical.Project(logical.Filter(_nation, (Op("or", (Op("and", (Op(">", (_key, Lit(3))), Op("<", (_key, Lit(9))))), Op("not", (Op("!=", (_region, Lit(4))),)))),)), (("k", _key), ("r", _region)))), "SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE (n_nationkey > 3 AND n_nationkey < 9) OR NOT (n_regionkey != 4)")
-register("parameter_reference", plan(logical.Project(logical.Filter(_nation, (Op("=", (_label, Param(1))),)), (("k", _key), ("given", Param(0)))), ("told", "FRANCE")), "SELECT n_nationkey AS k, 'told' AS given FROM nation WHERE n_name = 'FRANCE'")
+register("parameter_reference", plan(logical.Project(logical.Filter(_nation, (Op("=", (_label, Param(1))),)), (("k", _key), ("given", Param(0)))), ("told", "NATION_6")), "SELECT n_nationkey AS k, 'told' AS given FROM nation WHERE n_name = 'NATION_6'")
 register("function_expression", plan(logical.Project(_nation, (("name", logical.Apply("lower", (_label,))), ("size", logical.Apply("length", (_label,), "int8"))))), "SELECT lower(n_name) AS name, CAST(length(n_name) AS BIGINT) AS size FROM nation")
 
 
@@ -166,6 +166,14 @@ def _call(spark, sf_dir):
 
 
 register("function_call_literal", _call, "SELECT r_regionkey AS k, r_name AS name, lower(r_name) AS low FROM region WHERE r_name LIKE 'A%'")
+def _builtin(spark, sf_dir):
+    found = catalog(spark, sf_dir)
+    found.builtin("lower", 2, returns="text")
+    found.builtin("startsWith", 2, "starts_with", test=True)
+    return conjunction.run_query(found, text.parse_query('nation(k, name, _), lower(name, low), startsWith(low, "nation_1")'))
+
+
+register("builtin_predicate", _builtin, r"SELECT n_nationkey AS k, n_name AS name, lower(n_name) AS low FROM nation WHERE lower(n_name) LIKE 'nation\_1%' ESCAPE '\'")
 register("prefix_match", lambda spark, d: the_graph(spark, d).vertices.where(F.startswith("id", F.lit("nation/"))).distinct(), WITH + "SELECT id FROM vertices WHERE id LIKE 'nation/%'")
 register("query_project_limit_offset", lambda spark, d: conjunction.run_query(catalog(spark, d), s.Query(text.parse_query("nation(k, name, r)").body, ("r",), 2, 1)), "SELECT DISTINCT n_regionkey AS r FROM nation ORDER BY r LIMIT 2 OFFSET 1")
 
@@ -178,13 +186,13 @@ _customers, _orders = logical.Scan("customer", 5, "c"), logical.Scan("orders", 6
 _same = (Op("=", (Col("c.c_custkey"), Col("o.o_custkey"))),)
 register("left_join", plan(logical.Project(logical.Join(_customers, _orders, _same, "left"), (("c", Col("c.c_custkey")), ("o", Col("o.o_orderkey"))))), "SELECT c_custkey AS c, o_orderkey AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 register("semi_join", plan(logical.Project(logical.Join(_customers, _orders, _same, "semi"), (("c", Col("c.c_custkey")),))), "SELECT c_custkey AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-register("anti_join", plan(logical.Project(logical.Join(_customers, _orders, _same, "anti"), (("c", Col("c.c_custkey")),))), "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-register("anti_join_negation", ask("customer(c, name, _, _, _), not orders(_, c, _, _, _, _)"), "SELECT DISTINCT c_custkey AS c, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-register("self_join_edges", ask('edge(a, "in_region", r), edge(b, "in_region", r), edge(a, "nation_label", "FRANCE")'), "SELECT DISTINCT concat('nation/', x.n_nationkey) AS a, concat('region/', x.n_regionkey) AS r, concat('nation/', y.n_nationkey) AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey WHERE x.n_name = 'FRANCE'")
+register("anti_join", plan(logical.Project(logical.Join(_customers, logical.Filter(_orders, (Op("=", (Col("o.o_orderstatus"), Lit("P"))),)), _same, "anti"), (("c", Col("c.c_custkey")),))), "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+register("anti_join_negation", ask('customer(c, name, _, _, _), not orders(_, c, "P", _, _, _)'), "SELECT DISTINCT c_custkey AS c, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+register("self_join_edges", ask('edge(a, "in_region", r), edge(b, "in_region", r), edge(a, "nation_label", "NATION_6")'), "SELECT DISTINCT concat('nation/', x.n_nationkey) AS a, concat('region/', x.n_regionkey) AS r, concat('nation/', y.n_nationkey) AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey WHERE x.n_name = 'NATION_6'")
 FLAGSHIP = 'edge(o, "placed_by", c), edge(o, "status", "O"), edge(c, "in_nation", n), edge(c, "segment", seg), edge(n, "nation_label", nation), edge(n, "in_region", r), edge(r, "region_label", region)'
 register("star_join_wide", ask(FLAGSHIP), "SELECT DISTINCT concat('order/', o_orderkey) AS o, concat('customer/', c_custkey) AS c, concat('nation/', n_nationkey) AS n, c_mktsegment AS seg, n_name AS nation, concat('region/', r_regionkey) AS r, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'O'")
-_WIDE = ", ".join(f'edge(n{i}, "in_region", r), edge(n{i}, "nation_label", "{name}")' for i, name in enumerate(["FRANCE", "GERMANY", "ROMANIA", "RUSSIA", "UNITED KINGDOM", "FRANCE", "GERMANY", "ROMANIA"])) + ', edge(r, "region_label", region)'
-register("wide_conjunction_17", ask(_WIDE), "SELECT " + ", ".join(f"concat('nation/', n{i}.n_nationkey) AS n{i}" for i in range(8)) + ", concat('region/', r_regionkey) AS r, r_name AS region FROM region " + " ".join(f"JOIN nation n{i} ON n{i}.n_regionkey = r_regionkey AND n{i}.n_name = '{name}'" for i, name in enumerate(["FRANCE", "GERMANY", "ROMANIA", "RUSSIA", "UNITED KINGDOM", "FRANCE", "GERMANY", "ROMANIA"])))
+_WIDE = ", ".join(f'edge(n{i}, "in_region", r), edge(n{i}, "nation_label", "{name}")' for i, name in enumerate(["NATION_6", "NATION_11", "NATION_1", "NATION_16", "NATION_21", "NATION_6", "NATION_11", "NATION_1"])) + ', edge(r, "region_label", region)'
+register("wide_conjunction_17", ask(_WIDE), "SELECT " + ", ".join(f"concat('nation/', n{i}.n_nationkey) AS n{i}" for i in range(8)) + ", concat('region/', r_regionkey) AS r, r_name AS region FROM region " + " ".join(f"JOIN nation n{i} ON n{i}.n_regionkey = r_regionkey AND n{i}.n_name = '{name}'" for i, name in enumerate(["NATION_6", "NATION_11", "NATION_1", "NATION_16", "NATION_21", "NATION_6", "NATION_11", "NATION_1"])))
 
 # Compounds
 PROFILE = s.CompoundSchema("profile", (s.Field("in_nation", "1", "node"), s.Field("segment", "?", "text")))
@@ -196,7 +204,8 @@ def _compound(schema):
 
 
 register("compound_view_optional", _compound(PROFILE), "SELECT DISTINCT concat('nation/', c_nationkey) AS f0, c_mktsegment AS f1 FROM customer")
-register("compound_view_required", _compound(s.CompoundSchema("placed", (s.Field("in_nation", "+", "node"), s.Field("placed_by", "1", "node")))), "SELECT 'a' AS f0, 'b' AS f1 WHERE false")
+register("compound_view_required", _compound(s.CompoundSchema("settled", (s.Field("in_nation", "+", "node"), s.Field("segment", "1", "text")))), "SELECT DISTINCT concat('nation/', c_nationkey) AS f0, c_mktsegment AS f1 FROM customer")
+register("compound_view_missing_field", _compound(s.CompoundSchema("placed", (s.Field("in_nation", "1", "node"), s.Field("placed_by", "1", "node")))), "SELECT 'a' AS f0, 'b' AS f1 WHERE false")
 REVIEW = s.CompoundSchema("Review", (s.Field("item", "1", "node"), s.Field("by", "1", "node"), s.Field("note", "?", "text")))
 
 
@@ -246,10 +255,10 @@ def _rate(request):
 def _materialize(spark, sf_dir):
     found = catalog(spark, sf_dir)
     found.external("rate", ("n", "rate"), external.Resolver("materialize_before_sql", "rates", ("n",), materialize_rows=_rate, column_types={"rate": "int8"}))
-    return external.Prepared(found, text.parse_query('edge(c, "in_nation", n), edge(n, "nation_label", "FRANCE"), rate(n, rate)')).run()
+    return external.Prepared(found, text.parse_query('edge(c, "in_nation", n), edge(n, "nation_label", "NATION_6"), rate(n, rate)')).run()
 
 
-register("materialize_external", _materialize, "SELECT DISTINCT concat('customer/', c_custkey) AS c, concat('nation/', n_nationkey) AS n, CAST(length(concat('nation/', n_nationkey)) AS BIGINT) AS rate FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'")
+register("materialize_external", _materialize, "SELECT DISTINCT concat('customer/', c_custkey) AS c, concat('nation/', n_nationkey) AS n, CAST(length(concat('nation/', n_nationkey)) AS BIGINT) AS rate FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_6'")
 
 
 def _batch_rate(keys: pa.Table) -> pa.Table:

@@ -43,6 +43,7 @@ class Catalog:
         self.spark, self.vertices, self.edges = spark, vertices, edges
         self.relations: dict[tuple[str, int], Relation] = {}
         self.aliases = dict(GRAPH_ALIASES)
+        self.builtins: dict[tuple[str, int], tuple[str, str, bool]] = {}
         self.hub_filter = hub_filter
         if vertices is not None:
             self.add(Relation("vertex", VERTEX_COLUMNS, lambda: self.vertices.select(*VERTEX_COLUMNS)))
@@ -57,9 +58,13 @@ class Catalog:
 
     def copy(self) -> Catalog:
         other = Catalog(self.spark)
-        other.__dict__ |= self.__dict__ | {"relations": dict(self.relations), "aliases": dict(self.aliases)}
+        other.__dict__ |= self.__dict__ | {"relations": dict(self.relations), "aliases": dict(self.aliases), "builtins": dict(self.builtins)}
         return other
 
+    def builtin(self, name: str, arity: int, function: str | None = None, returns: str = "unknown", test: bool = False) -> None:
+        """Binds an atom to a function: its last term is the result, or with test all terms are arguments of a condition."""
+        self.builtins[name, arity] = (function or name, returns, test)
+
     def resolve(self, name: str, arity: int) -> Relation:
         """The relation of a predicate, by its name or an alias."""
         for known in (name, self.aliases.get(name)):

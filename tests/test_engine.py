@@ -78,6 +78,16 @@ def test_written_order_gives_the_same_rows(spark):
     assert rows(conjunction.run_query(catalog, query, reorder=False)) == rows(conjunction.run_query(catalog, query))
 
 
+def test_builtin_predicates(spark):
+    catalog = Catalog(spark)
+    catalog.table("t", spark.createDataFrame([("Ab",), ("cD",)], "v string"))
+    catalog.builtin("lower", 2, returns="text")
+    assert rows(ask(catalog, "t(v), lower(v, x)")) == [("Ab", "ab"), ("cD", "cd")]
+    assert rows(ask(catalog, 't(v), lower(v, "cd")')) == [("cD",)]
+    assert ask(catalog, "t(v), lower(v, _)").count() == 2
+    assert rows(ask(catalog, "t(v), t(w), lower(v, x), lower(w, x), v = w")) == [("Ab", "Ab", "ab"), ("cD", "cD", "cd")]
+
+
 def test_batches_keep_to_the_parameter_limit():
     edges = [s.Edge("a", "p", str(i)) for i in range(20_001)]
     assert [len(b) for b in graph.batches(edges)] == [20_000, 1]
