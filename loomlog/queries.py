@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomlog.operators import closure, graph, retrieval
 from loomlog.plans import conjunction, external, logical, rules
@@ -46,8 +47,15 @@ WITH = f"WITH {VERTICES_SQL}, {EDGES_SQL} "
 WITH_RECURSIVE = f"WITH RECURSIVE {VERTICES_SQL}, {EDGES_SQL}, "
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Its schema is read from the files once, and then told: the view of the graph names tables many times."""
+    path = f"{sf_dir}/{name}.parquet"
+    if name not in _schemas:
+        _schemas[name] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[name]).parquet(path)
 
 
 def edge_rows(spark: SparkSession, sf_dir: str, names=tuple(EDGES)) -> DataFrame:
