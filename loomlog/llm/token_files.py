@@ -39,7 +39,7 @@ DICTIONARY_DOCS, DICTIONARY_CLIP, DICTIONARY_BYTES = 1000, 4096, 65536
 #: Documents aimed at for each file, so that a file stays some 10 to 100 MB.
 DOCS_PER_FILE = 10_000
 #: Words kept in the cache of one Python worker; it is emptied when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 MAGIC, HEAD, FOOT = b"LMTK", "<4sI32s", "<QQ4s"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u4"), ("crc", "<u4"), ("known", "u1")])
 
@@ -77,7 +77,7 @@ class Encoder:
         plain = [w for w in new if PLAIN.fullmatch(w)] if self.word_ends is not None else []
         for start in range(0, len(plain), 1000):
             part = plain[start : start + 1000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.frombuffer(self.batch([b" ".join(part).decode()])[0], "<u4")
             ends = [0, *(4 * (np.flatnonzero(self.word_ends[ids]) + 1)).tolist()]
             raw = ids.tobytes()
             self.cache.update(zip(part, [raw[a:b] for a, b in pairwise(ends)], strict=True))
