@@ -124,10 +124,6 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(MULT), n, 1 << 64))
 
 
-def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values, kind))
-
-
 def remainder(column: Column | str, n: int) -> Column:
     """crc32 of the column's text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")), F.lit(n))
