@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: The vocabulary file whose ids the query returns; its folder is the parameter.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept in the cache of one Python worker; it is emptied when full.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 #: White space beyond ASCII, and controls that only some definitions call white space: such texts are cut by the whole pattern.
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECES = re.compile(r"\s*\S+|\s+")
