@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm import _common as c
 from loomlog.llm import bpe, chroma, decontaminate, jaccard_join, katz, quality, substring_dedup, token_files, url_filter, warc
+from loomlog.llm.oracle import ORACLE
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +84,8 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(c.table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
+    return url_filter.judge(c.table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir)).drop("reputation", "upper")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_quality, op4_decontaminate, op5_jaccard_join, op6_warc, op7_katz, op8_chroma, op9_substring_dedup, op10_url_filter)}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
