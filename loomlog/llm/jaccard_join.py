@@ -24,17 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomlog.llm import _common as c
 from loomlog.llm.components import components
+from loomlog.llm.sketch import SKETCH_BITS, Tally, cells, levels
 
 WORDS, PERCENT = 5, 80
-#: Cells of the count sketch, and the parts in which it is added up. 2^24 cells of a byte are broadcast: 16 MB whatever the input.
-SKETCH_BITS, SKETCH_PARTS = 24, 64
 #: Seeds of the hash orders that follow the first.
 ORDERS = (0x51ED270B, 0x2545F491)
 #: Neighbours of a class, by most prefix shingles shared, that the first round compares, and shingles they must share (a fifth of a short prefix does).
@@ -79,60 +77,33 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed=len(tokens))).astype(np.int64))
 
 
-def count(sketch: np.ndarray, cells: list[np.ndarray]) -> None:
-    found, times = np.unique(np.concatenate(cells), return_counts=True)
-    sketch[found.astype(np.int64)] += times.astype(np.uint32)
-
-
 def _profile(words: int):
     """Kind 0: doc_id, size and class of each row. Kind 1: this task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "n", "cls", "part", "blob"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        sketch, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
-        shift = np.uint64(64 - SKETCH_BITS)
+        tally = Tally()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = shingles(text.as_py(), words)
                 rows.append((0, doc_id, len(tokens), fingerprint(tokens) if len(tokens) else None, None, None))
-                waiting.append(tokens >> shift)
-                size += len(tokens)
-                if size > 1_000_000:
-                    count(sketch, waiting)
-                    waiting, size = [], 0
+                tally.add(tokens)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        if waiting:
-            count(sketch, waiting)
-        shrink = zstandard.ZstdCompressor(level=1)
-        for part, cells in enumerate(sketch.reshape(SKETCH_PARTS, -1)):
-            if cells.any():
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((1, None, None, None, part, shrink.compress(cells.tobytes())), kinds, strict=True)], names)
+        for part, blob in tally.parts():
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((1, None, None, None, part, blob), kinds, strict=True)], names)
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the parts of the sketch, and rounds counts to a byte, four steps for each doubling."""
-    sums: dict[int, np.ndarray] = {}
-    expand = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            cells = np.frombuffer(expand.decompress(blob), np.uint32)
-            sums[part] = sums[part] + cells if part in sums else cells.astype(np.uint64)
-    for part, cells in sums.items():
-        levels = np.minimum(255, 4 * np.log2(1.0 + cells)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["part", "blob"])
-
-
-def rare_prefix(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+def rare_prefix(tokens: np.ndarray, level_of: np.ndarray, percent: int) -> np.ndarray:
     """The first tokens in the order of (sketched count, hash), as many as one common token needs."""
     n = len(tokens)
     need = least_overlap(n, percent)
     k = n - need + 1
-    level = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    level = level_of[cells(tokens)]
     return tokens[np.lexsort((c.mix(tokens), level))[:k]]
 
 
@@ -140,7 +111,7 @@ def _postings(shared, words: int, percent: int):
     """(token, n, cls, pos) of the prefix of each class that occurs in this task, once; pos is the token's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(shared.value, np.uint8)
+        level_of = np.frombuffer(shared.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -149,7 +120,7 @@ def _postings(shared, words: int, percent: int):
                     tokens = shingles(text, words)
                     if len(tokens) and (cls := fingerprint(tokens)) not in seen:
                         seen.add(cls)
-                        found.append(prefix := rare_prefix(tokens, levels, percent))
+                        found.append(prefix := rare_prefix(tokens, level_of, percent))
                         sizes.append(len(tokens))
                         classes.append(cls)
                         lengths.append(len(prefix))
@@ -247,12 +218,7 @@ class JaccardJoin:
     def profile(self) -> DataFrame:
         """doc_id, n and cls of every row; keeps the sketch and the classes."""
         found = c.stored(self.docs.mapInArrow(_profile(self.words), "kind int, doc_id long, n long, cls long, part int, blob binary"), f"{self.folder}/profile", "kind")
-        parts = found.where("kind = 1").select("part", "blob").repartition(SKETCH_PARTS, "part").mapInArrow(_add, "part int, blob binary").collect()  # 64 rows of 64 KB
-        step = (1 << SKETCH_BITS) // SKETCH_PARTS
-        levels = bytearray(1 << SKETCH_BITS)
-        for row in parts:
-            levels[row.part * step : (row.part + 1) * step] = row.blob
-        self.levels = self.spark.sparkContext.broadcast(bytes(levels))
+        self.levels = self.spark.sparkContext.broadcast(levels(found.where("kind = 1").select("part", "blob")))
         rows = found.where("kind = 0").select("doc_id", "n", "cls")
         self.classes = c.stored(rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), f"{self.folder}/classes")
         return rows
@@ -317,3 +283,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     out = salted.join(merged, ["cls", "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+__all__ = ["ORDERS", "SKETCH_BITS", "JaccardJoin", "join", "order_prefix", "rare_prefix", "shingles", "similar"]
