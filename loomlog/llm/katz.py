@@ -22,7 +22,7 @@ word that only one chunk has needs no bucket.
 
 from __future__ import annotations
 
-import io
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,15 +40,32 @@ CHUNK_TOKENS, DOCS_PER_BUCKET, HOT_PARTS = 2_200_000, 2_000, 2_000
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" end", b" start"))
 
 
+#: Arrays that are ascending wherever they are packed; their differences are kept.
+ASCENDING = ("words", "h")
+
+
 def pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
+    """Arrays as one compressed blob: byte by byte of all items, so that the high bytes of small numbers compress away."""
+    head, parts = [], []
+    for name, x in arrays.items():
+        x = np.diff(x, prepend=x.dtype.type(0)) if name in ASCENDING else x
+        head.append((name, x.dtype.str, x.shape))
+        parts.append(np.ascontiguousarray(x.reshape(-1)).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes() if x.size else b"")
+    told = json.dumps(head).encode()
+    return zstandard.ZstdCompressor(level=3).compress(len(told).to_bytes(4, "little") + told + b"".join(parts))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))) as found:
-        return {k: found[k] for k in found.files}
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = {}
+    for name, kind, shape in json.loads(raw[4:at]):
+        kind, n = np.dtype(kind), int(np.prod(shape))
+        x = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T
+        at += n * kind.itemsize
+        x = np.ascontiguousarray(x).view(kind).reshape(shape)
+        out[name] = np.cumsum(x, dtype=kind) if name in ASCENDING else x
+    return out
 
 
 def load(folder: str, name: str) -> dict[str, np.ndarray]:
@@ -247,7 +264,7 @@ def _ask_pairs(folder: str, buckets: int, model: Unigrams):
             h = pairs.h[part]
             head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             w = (pairs.hashes[pairs.w[part]] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            return pack(h=pairs.hashes[h[head]], hot=pairs.hot[h[head]], runs=np.diff(np.append(head, len(h))).astype(np.uint32), w=w, counts=pairs.counts[part].astype(np.uint32), totals=pairs.totals[pairs.w[part]].astype(np.uint64))
+            return pack(h=pairs.hashes[h[head]], hot=pairs.hot[h[head]], runs=np.diff(np.append(head, len(h))).astype(np.uint32), w=w, counts=pairs.counts[part].astype(np.uint32), totals=np.where(pairs.counts[part] > 0, pairs.totals[pairs.w[part]], 0).astype(np.uint64))
 
         own = histogram(pairs.counts[pairs.own[pairs.h]])
         rows = [x.to_pylist() for x in requests(name, bucket, blob)]
@@ -272,7 +289,8 @@ def _count_pairs(model: Unigrams):
         pair = np.empty(len(h), np.int64)
         pair[order] = np.cumsum(new) - 1
         counts = np.bincount(pair, weights=np.concatenate([x["counts"] for x in asked]), minlength=int(new.sum())).astype(np.int64)
-        totals = np.concatenate([x["totals"] for x in asked]).astype(np.int64)[order][new] if len(h) else np.zeros(0, np.int64)
+        totals = np.concatenate([x["totals"] for x in asked]).astype(np.int64)[order]  # of the second word; told by chunks that train on the pair
+        totals = np.maximum.reduceat(totals, np.flatnonzero(new)) if len(h) else totals
         firsts, of_pair = np.unique(h[order][new], return_inverse=True)
         sums = sums_by(of_pair, counts, model.p(totals), len(firsts))
         rows, at, hot = [], 0, np.zeros(len(firsts), bool)
@@ -348,12 +366,13 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("held")).alias("train")).first()
     buckets = max(16, size.n // DOCS_PER_BUCKET)
     folder = c.scratch(spark, "katz")
-    asked = rows.mapInArrow(_chunks(f"{folder}/chunks", buckets), REQUEST)
-    words = c.stored(asked.groupBy("bucket").applyInArrow(released(_count), ANSWER), f"{folder}/words")
+    words = c.stored(rows.mapInArrow(_chunks(f"{folder}/chunks", buckets), REQUEST).groupBy("bucket").applyInArrow(released(_count), ANSWER), f"{folder}/words")
     stats = np.array([r.stats for r in words.where("chunk IS NULL").select("stats").collect()], np.int64).reshape(-1, CUTOFF + 3).sum(0)  # a row for each bucket
     model = Unigrams(int(stats[0]), int(stats[1]), stats[2:], int(size.train))
-    asked = words.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(released(_ask_pairs(f"{folder}/chunks", buckets, model)), ANSWER)
-    pairs = c.stored(asked.groupBy("bucket").applyInArrow(released(_count_pairs(model)), ANSWER), f"{folder}/pairs")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # told, so that small answers to large chunks are not coalesced into few tasks
+    known = words.where("chunk IS NOT NULL").repartition(tasks, "chunk").groupBy("chunk")
+    pairs = c.stored(known.applyInArrow(released(_ask_pairs(f"{folder}/chunks", buckets, model)), ANSWER).groupBy("bucket").applyInArrow(released(_count_pairs(model)), ANSWER), f"{folder}/pairs")
+    c.drop_path(spark, f"{folder}/words")
     told = pairs.where("chunk IS NULL").select("blob", "stats").collect()  # a row for each bucket, with at most 2 HOT_PARTS first words in all
     d = discounts(np.sum([r.stats for r in told], 0, dtype=np.int64) if told else np.zeros(CUTOFF + 1, np.int64))
     hot = [unpack(bytes(r.blob)) for r in told if r.blob]
@@ -363,4 +382,4 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         np.add.at(sums, inverse, np.concatenate([x["sums"] for x in hot]))
     shared = spark.sparkContext.broadcast((hashes, sums))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return pairs.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(released(_score(f"{folder}/chunks", buckets, model, d, shared)), schema)
+    return pairs.where("chunk IS NOT NULL").repartition(tasks, "chunk").groupBy("chunk").applyInArrow(released(_score(f"{folder}/chunks", buckets, model, d, shared)), schema)
