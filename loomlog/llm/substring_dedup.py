@@ -7,15 +7,17 @@ node lies below one of them, so trees are cut there, and runs of such nodes
 along a document are its maximal repeats.
 
 Suffixes are split by their prefix: a window belongs to the group of the least
-PREFIX-word hash in it (its anchor), which equal windows share. Consecutive
+PREFIX-word run in it (its anchor), which equal windows share: the rarest by a
+count sketch of all documents, then the least hash. So a frequent line draws
+only windows that lie in frequent text altogether, which are few different
+ones, and groups stay small. Consecutive
 windows with one anchor travel as one row: the anchor's prefix, the place, and
 five bytes of path hash for each window, instead of 20 words for each suffix.
 Before the shuffle each task merges its own trees (the first place of a window
 goes on, later ones are repeats already), so a passage that a third of all
 documents share reaches its group once from each task and not once from each
 document. A group is read in order of place; of a group too large for memory
-only the distinct nodes seen so far are held, and the path hash extends the
-prefix where one prefix has many continuations.
+only the distinct nodes seen so far are held.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomlog.llm import _common as c
+from loomlog.llm.sketch import Tally, cells, levels
 
 WINDOW, PREFIX = 20, 8
 #: Words of the trees that one task merges at a time, and windows that a group reader holds at a time.
@@ -63,7 +66,26 @@ def runs(flags: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], at[last] + 1
 
 
-def _merge(docs: list[tuple[int, int, list[bytes]]], window: int, prefix: int) -> Iterator[tuple[int, list]]:
+def ranked(prefixes: np.ndarray, level_of: np.ndarray) -> np.ndarray:
+    """Prefix hashes with how frequent they are in the leading byte."""
+    return (level_of[cells(prefixes)].astype(np.uint64) << np.uint64(56)) | (prefixes >> np.uint64(8))
+
+
+def _tally(prefix: int):
+    """Each task's sketch of all prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            for text in batch.column(0):
+                tally.add(c.rolling(c.hash_words(c.words_of(text.as_py())), prefix))
+        for part, blob in tally.parts():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
+
+    return run
+
+
+def _merge(docs: list[tuple[int, int, list[bytes]]], window: int, prefix: int, level_of: np.ndarray) -> Iterator[tuple[int, list]]:
     """The trees of some documents: repeats within them (kind 0), and the rows that go to the groups (kind 1)."""
     docs.sort(key=lambda d: d[:2])
     lengths = np.array([len(w) for *_, w in docs])
@@ -77,7 +99,7 @@ def _merge(docs: list[tuple[int, int, list[bytes]]], window: int, prefix: int) -
     prefixes = c.rolling(hashes, prefix)
     n = len(paths)
     whole = doc[:n] == doc[window - 1 :]
-    at = anchors(prefixes, window - prefix + 1)
+    at = anchors(ranked(prefixes, level_of), window - prefix + 1)
     places = np.flatnonzero(whole)
     _, first, inverse = np.unique(paths[places], return_index=True, return_inverse=True)
     first = places[first][inverse]
@@ -94,10 +116,12 @@ NAMES = ["kind", "prefix", "doc", "print", "low", "high", "paths"]
 SCHEMA = "kind int, prefix long, doc long, print long, low int, high int, paths binary"
 
 
-def _trees(window: int, prefix: int):
+def _trees(window: int, prefix: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level_of = np.frombuffer(shared.value, np.uint8)
+
         def out(docs: list) -> Iterator[pa.RecordBatch]:
-            for kind, x in _merge(docs, window, prefix):
+            for kind, x in _merge(docs, window, prefix, level_of):
                 for a in range(0, len(x[0]), 100_000):
                     part = [v[a : a + 100_000] for v in x]
                     n = len(part[0])
@@ -185,7 +209,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col:
     """Word intervals [low, high) of the documents that windows with an earlier start cover: doc, print (hash of the text), low, high."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("print"), F.col(text_col).cast("string").alias("text"))
-    trees = rows.mapInArrow(_trees(window, prefix), SCHEMA)
+    shared = spark.sparkContext.broadcast(levels(rows.select("text").mapInArrow(_tally(prefix), "part int, blob binary")))
+    trees = rows.mapInArrow(_trees(window, prefix, shared), SCHEMA)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # repeats within a task take the same way as suffixes, so that texts are read once; each goes to a group of its own
     spread = trees.withColumn("prefix", F.coalesce("prefix", F.xxhash64("doc", "low"))).repartition(n, "prefix").sortWithinPartitions("kind", "prefix", "doc", "low")
