@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from urllib.parse import quote
 
@@ -97,8 +96,3 @@ def aggregate(name: str, arg: Column | None) -> Column:
     if arg is None:
         raise LoomError("aggregate.argument", f"{name} needs an argument")
     return AGGREGATES[name](arg) if name in AGGREGATES else F.call_function(name, arg)
-
-
-def like_prefix(text: str) -> str:
-    """A LIKE pattern for texts that begin so."""
-    return re.sub(r"([%_\\])", r"\\\1", text) + "%"
