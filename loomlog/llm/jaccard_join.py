@@ -94,6 +94,8 @@ def _profile(words: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for part, blob in tally.parts():
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((1, None, None, None, part, blob), kinds, strict=True)], names)
+        del tally
+        c.release()
 
     return run
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 #: Cells, and the parts in which they are added up. 2^24 cells of a byte are broadcast: 16 MB whatever the input.
 SKETCH_BITS, SKETCH_PARTS = 24, 64
+STEP = (1 << SKETCH_BITS) // SKETCH_PARTS
 
 
 def cells(hashes: np.ndarray) -> np.ndarray:
@@ -41,10 +42,10 @@ class Tally:
 
     def parts(self) -> Iterator[tuple[int, bytes]]:
         self.settle()
-        shrink = zstandard.ZstdCompressor(level=1)
+        shrink = zstandard.ZstdCompressor(level=3)
         for part, counts in enumerate(self.counts.reshape(SKETCH_PARTS, -1)):
-            if counts.any():
-                yield part, shrink.compress(counts.tobytes())
+            if counts.any():  # a byte a cell where that holds the counts
+                yield part, shrink.compress(counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes())
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +54,8 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
         for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.frombuffer(expand.decompress(blob), np.uint32)
+            raw = expand.decompress(blob)
+            counts = np.frombuffer(raw, np.uint8 if len(raw) == STEP else np.uint32)
             sums[part] = sums[part] + counts if part in sums else counts.astype(np.uint64)
     for part, counts in sums.items():
         levels = np.minimum(255, 4 * np.log2(1.0 + counts)).astype(np.uint8)
@@ -62,8 +64,7 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def levels(parts: DataFrame) -> bytes:
     """The level of each cell, from all tasks' (part, blob) rows: 64 rows of 256 KB come to the driver."""
-    step = (1 << SKETCH_BITS) // SKETCH_PARTS
     out = bytearray(1 << SKETCH_BITS)
     for row in parts.repartition(SKETCH_PARTS, "part").mapInArrow(add_up, "part int, blob binary").collect():
-        out[row.part * step : (row.part + 1) * step] = row.blob
+        out[row.part * STEP : (row.part + 1) * STEP] = row.blob
     return bytes(out)

@@ -36,7 +36,7 @@ from loomlog.llm.sketch import Tally, cells, levels
 
 WINDOW, PREFIX = 20, 8
 #: Words of the trees that one task merges at a time, and windows that a group reader holds at a time.
-TASK_WORDS, HELD_WINDOWS = 1_500_000, 2_000_000
+TASK_WORDS, HELD_WINDOWS = 1_500_000, 1_000_000
 #: Rows with a null id are one document after all others.
 LAST = (1 << 63) - 1
 
@@ -47,10 +47,10 @@ def anchors(prefixes: np.ndarray, span: int) -> np.ndarray:
     least = prefixes[:n].copy()
     for k in range(1, span):
         np.minimum(least, prefixes[k : k + n], out=least)
-    at = np.zeros(n, np.int64)
+    offset = np.zeros(n, np.int8)
     for k in range(span - 1, -1, -1):
-        at = np.where(prefixes[k : k + n] == least, np.arange(k, k + n), at)
-    return at
+        offset[prefixes[k : k + n] == least] = k
+    return np.arange(n) + offset
 
 
 def runs(flags: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +81,8 @@ def _tally(prefix: int):
                 tally.add(c.rolling(c.hash_words(c.words_of(text.as_py())), prefix))
         for part, blob in tally.parts():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
+        del tally
+        c.release()
 
     return run
 
@@ -130,6 +132,8 @@ def _trees(window: int, prefix: int, shared):
                     else:
                         columns = [pa.nulls(n, pa.int64()), pa.array(part[0]), pa.array(part[1]), pa.array(part[2].astype(np.int32)), pa.array(part[3].astype(np.int32)), pa.nulls(n, pa.binary())]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns], NAMES)
+            docs.clear()
+            c.release()
 
         docs, size = [], 0
         for batch in batches:
@@ -199,6 +203,7 @@ def _groups(window: int):
                 if found := out([np.concatenate(x) for x in zip(*held, strict=True)], blobs):
                     yield found
                 held, blobs, size = [], [], 0
+                c.release()
         if blobs and (found := out([np.concatenate(x) for x in zip(*held, strict=True)], blobs)):
             yield found
 
