@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm import _common as c
+
 #: The vocabulary file whose ids the query returns; its folder is the parameter.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept in the cache of one Python worker; it is emptied when full.
@@ -183,6 +185,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                     columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        c.release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -132,6 +132,7 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
                 part = batch.slice(start, BLOCK)
                 values = shared.value.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values), *(part.column(i) for i in range(2, part.num_columns))], ["doc_id", "score", *names])
+        c.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([] if keep is None else [keep.alias("row")]))
     return rows.mapInArrow(run, StructType([*StructType.fromDDL("doc_id long, score double").fields, *rows.schema.fields[2:]]))
