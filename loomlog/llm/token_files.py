@@ -127,7 +127,7 @@ def train(docs: DataFrame, vocabulary: str, end_id: int | None) -> bytes:
     """A dictionary from a sample by hash of the id; raw content where the sample is too small to train on."""
     n = docs.count()
     rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // DICTIONARY_DOCS))) == 0).select(F.substring("text", 1, DICTIONARY_CLIP).alias("text")).limit(2 * DICTIONARY_DOCS)
-    samples = [x[:DICTIONARY_CLIP] for x in Encoder(vocabulary, end_id).encode([r.text for r in rows.collect()])]
+    samples = [x[:DICTIONARY_CLIP] for x in Encoder(vocabulary, end_id).encode(sorted(r.text or "" for r in rows.collect()))]  # in an order of their own, so that equal rows give equal files
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
