@@ -57,20 +57,17 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings are the rows of embeddings; queries those whose id is divisible by 20. One row per query.
+    """Recordings are the rows of embeddings; queries those whose id is divisible by 20. Every match, in two kinds of rows.
 
-    n_matches counts the recordings that match, itself and copies included;
-    class_id is the least of them; best_id is the other class that differs in
-    the fewest bits (null without one), and how it aligns.
+    link: the class `id`, which holds a query, matches the class `class_id` (itself too), and how they align.
+    member: the recording `id` is of the class `class_id`; all recordings of the classes that links name.
+    A query's matches are the members of the classes that its class is linked to.
     """
     prints = c.stored(chroma.fingerprint_vectors(c.table(spark, sf_dir, "embeddings")), c.scratch(spark, "chroma"))
-    asked = F.col("id") % 20 == 0
-    members = c.stored(chroma.members(prints), c.scratch(spark, "chroma"))
-    found = chroma.align(prints, asked).join(members.groupBy(F.col("class").alias("match_class")).agg(F.count(F.lit(1)).alias("copies")), "match_class")
-    other = F.when(F.col("match_class") != F.col("query_class"), F.struct((F.col("bit_errors") / F.col("overlap")).alias("error"), F.col("match_class").alias("id"), "offset", "votes", "overlap", "bit_errors"))
-    told = found.groupBy("query_class").agg(F.sum("copies").alias("n_matches"), F.min("match_class").alias("class_id"), F.min(other).alias("best"))
-    queries = members.where(asked).select(F.col("id").alias("query_id"), F.col("class").alias("query_class"))
-    return queries.join(told, "query_class").select("query_id", "n_matches", "class_id", F.col("best.id").alias("best_id"), *(F.col(f"best.{x}").alias(x) for x in ("offset", "votes", "overlap", "bit_errors")))
+    found = c.stored(chroma.align(prints, F.col("id") % 20 == 0), c.scratch(spark, "chroma"))
+    links = found.select(F.lit("link").alias("kind"), F.col("query_class").alias("id"), F.col("match_class").alias("class_id"), "offset", "votes", "overlap", "bit_errors")
+    members = chroma.members(prints).join(found.select(F.col("match_class").alias("class")).distinct(), "class")
+    return links.unionByName(members.select(F.lit("member").alias("kind"), "id", F.col("class").alias("class_id")), allowMissingColumns=True)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,3 +182,20 @@ def test_chroma_of_odd_rows(spark):
     assert {r["class"] for r in chroma.members(prints).collect()} == {3, 40} or chroma.members(prints).count() >= 3
     chroma.align(prints, F.col("id") % 20 == 0).collect()
     assert chroma.align(prints.limit(0), F.lit(True)).isEmpty()
+
+
+def test_op8_returns_every_match(spark, tmp_path):
+    chance = np.random.default_rng(8)
+    base = chance.normal(size=(12, 64)) * 0.2
+    vectors = np.concatenate([base, *(base[:6] + chance.normal(size=(6, 64)) * 0.002 for _ in range(4)), base[:4]]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    prints = chroma.fingerprint_vectors(table)
+    class_of = {r.id: r["class"] for r in chroma.members(prints).collect()}
+    want = {(i, j, *r[2:]) for r in chroma.align(prints, F.col("id") % 20 == 0).collect() for i in class_of if i % 20 == 0 and class_of[i] == r.query_class for j in class_of if class_of[j] == r.match_class}
+    got = queries.op8_chroma(spark, str(tmp_path)).collect()
+    members = [(r.id, r.class_id) for r in got if r.kind == "member"]
+    links = [(r.id, r.class_id, r.offset, r.votes, r.overlap, r.bit_errors) for r in got if r.kind == "link"]
+    assert len(set(members)) == len(members) and len(links) + len(members) == len(got)
+    assert {(i, j, *x[2:]) for x in links for i, a in members if a == x[0] and i % 20 == 0 for j, b in members if b == x[1]} == want
+    assert max(Counter(i for i, *_ in want).values()) > 2
