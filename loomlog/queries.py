@@ -314,6 +314,7 @@ register("recursive_reachability", program(_STEP + "reach(a, b) :- step(a, b).\n
 _SUPPLY = "hop(a, b) :- supplier(a, _, n, _), supplier(b, _, n, _), a < b, a >= 0, b < 40.\n"
 _HOP_SQL = "hop AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey AND y.s_suppkey < 40)"
 register("recursive_cycle", program(_SUPPLY + "near(a, b) :- hop(a, b).\nnear(a, b) :- hop(b, a).\nlinked(a, b) :- near(a, b).\nlinked(a, c) :- linked(a, b), linked(b, c).", "linked", ["a", "b"]), f"WITH RECURSIVE {_HOP_SQL}, near AS (SELECT a, b FROM hop UNION SELECT b, a FROM hop), linked(a, b) AS (SELECT a, b FROM near UNION SELECT l.a, n.b FROM linked l JOIN near n ON l.b = n.a) SELECT a, b FROM linked")
+register("recursive_cycle_whole", program("hop(a, b) :- supplier(a, _, n, _), supplier(b, _, n, _), a < b.\nnear(a, b) :- hop(a, b).\nnear(a, b) :- hop(b, a).\nlinked(a, b) :- near(a, b).\nlinked(a, c) :- linked(a, b), linked(b, c).", "linked", ["a", "b"]), "WITH RECURSIVE near AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey != y.s_suppkey), linked(a, b) AS (SELECT a, b FROM near UNION SELECT l.a, n.b FROM linked l JOIN near n ON l.b = n.a) SELECT a, b FROM linked")
 register("mutual_recursion", program(_STEP + 'odd(x) :- step(x, "region/1").\nodd(x) :- step(x, y), even(y).\neven(x) :- step(x, y), odd(y).', "odd", ["x"]), WITH_RECURSIVE + _STEPS_SQL + ", walk(x, n) AS (SELECT a, 1 FROM step WHERE b = 'region/1' UNION SELECT s.a, w.n + 1 FROM walk w JOIN step s ON s.b = w.x) SELECT DISTINCT x FROM walk WHERE n % 2 = 1")
 register("stratified_negation", program('served(n) :- based_in(_, n).\nidle(n, l) :- nation_label(n, l), not served(n).\nopen(r) :- in_region(n, r), not idle(n, _).', "open", ["r"]), "SELECT DISTINCT concat('region/', n_regionkey) AS r FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
 
