@@ -330,6 +330,8 @@ register("recursive_path_count_distributed", lambda spark, d: closure.path_count
 register("recursive_path_count_sql", lambda spark, d: closure.path_count_sql(_tree(spark, d).where("object_id LIKE 'nation/%' OR object_id LIKE 'customer/%'"), "region/1", "holds"), WITH_RECURSIVE + "walk(node) AS (SELECT subject_id FROM edges WHERE object_id = 'region/1' AND predicate_id = 'in_region' UNION ALL SELECT e.subject_id FROM walk w JOIN edges e ON e.object_id = w.node AND e.predicate_id = 'in_nation') SELECT count(*) AS count FROM walk")
 register("closure_reachable_root", lambda spark, d: closure.reachable(_tree(spark, d), "holds", "region/2"), _PATHS.replace("region/1", "region/2") + "SELECT DISTINCT 'region/2' AS source, node AS target FROM walk")
 register("closure_reachable_all", lambda spark, d: closure.reachable(_tree(spark, d).where("object_id LIKE 'nation/%' OR object_id LIKE 'customer/%'"), "holds"), WITH_RECURSIVE + "tree AS (SELECT object_id AS a, subject_id AS b FROM edges WHERE predicate_id IN ('in_region', 'in_nation')), reach(source, target) AS (SELECT a, b FROM tree UNION SELECT r.source, t.b FROM reach r JOIN tree t ON t.a = r.target) SELECT source, target FROM reach")
+register("recursive_path_count_sql_whole", lambda spark, d: closure.path_count_sql(_tree(spark, d), "region/1", "holds"), _PATHS + "SELECT count(*) AS count FROM walk")
+register("closure_reachable_all_whole", lambda spark, d: closure.reachable(_tree(spark, d), "holds"), WITH_RECURSIVE + "tree AS (SELECT object_id AS a, subject_id AS b FROM edges WHERE predicate_id IN ('in_region', 'in_nation', 'placed_by')), reach(source, target) AS (SELECT a, b FROM tree UNION SELECT r.source, t.b FROM reach r JOIN tree t ON t.a = r.target) SELECT source, target FROM reach")
 
 # Summaries and evidence
 register("node_summary", lambda spark, d: graph.node_summary(edge_rows(spark, d, ("nation_label", "in_region", "in_nation", "segment")), "nation_label", ("in_region", "segment")).select("id", "label", F.array_join("classes", "|").alias("classes")), "SELECT concat('nation/', n_nationkey) AS id, n_name AS label, concat('region/', n_regionkey) AS classes FROM nation UNION ALL SELECT concat('customer/', c_custkey), NULL, string_agg(DISTINCT c_mktsegment, '|') FROM customer GROUP BY c_custkey")

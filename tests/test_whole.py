@@ -17,3 +17,19 @@ def test_cycle_links_every_supplier(spark):
     want = sorted((a, b) for group in of.values() if len(group) > 1 for a in group for b in group)
     assert max(a for a, _ in want) >= 40
     assert rows(q.QUERIES["recursive_cycle_whole"](spark, LARGER)) == want
+
+
+def test_tree_closures_reach_orders(spark):
+    read = lambda t: pq.read_table(f"{LARGER}/{t}.parquet").to_pylist()
+    up = {f"nation/{r['n_nationkey']}": f"region/{r['n_regionkey']}" for r in read("nation")}
+    up |= {f"customer/{r['c_custkey']}": f"nation/{r['c_nationkey']}" for r in read("customer")}
+    up |= {f"order/{r['o_orderkey']}": f"customer/{r['o_custkey']}" for r in read("orders")}
+    want = set()
+    for node in up:
+        at = node
+        while at in up:
+            at = up[at]
+            want.add((at, node))
+    assert any(b.startswith("order/") and a.startswith("region/") for a, b in want)
+    assert rows(q.QUERIES["closure_reachable_all_whole"](spark, LARGER)) == sorted(want)
+    assert rows(q.QUERIES["recursive_path_count_sql_whole"](spark, LARGER)) == [(sum(a == "region/1" for a, _ in want),)]
