@@ -217,8 +217,8 @@ register("compound_view_missing_field", _compound(s.CompoundSchema("placed", (s.
 REVIEW = s.CompoundSchema("Review", (s.Field("item", "1", "node"), s.Field("by", "1", "node"), s.Field("note", "?", "text")))
 
 
-def _asserted(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("part/"), "l_partkey").alias("item"), F.concat(F.lit("a,b:"), F.col("l_orderkey").cast("string")).alias("by"), F.when(F.col("l_returnflag") == "R", F.lit("returned")).otherwise("kept").alias("note"))
+def _asserted(spark, sf_dir, where="l_linenumber = 1"):
+    return load(spark, sf_dir, "lineitem").where(where).select(F.concat(F.lit("part/"), "l_partkey").alias("item"), F.concat(F.lit("a,b:"), F.col("l_orderkey").cast("string")).alias("by"), F.when(F.col("l_returnflag") == "R", F.lit("returned")).otherwise("kept").alias("note"))
 
 
 _REVIEWS = "reviews AS (SELECT concat('part/', l_partkey) AS item, concat('a,b:', l_orderkey) AS by_, concat('a%2Cb%3A', l_orderkey) AS coded, CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'kept' END AS note FROM lineitem WHERE l_linenumber = 1), hubs AS (SELECT DISTINCT *, concat('Review:by=', coded, ',item=', item, ',note=', note) AS id FROM reviews)"
@@ -226,12 +226,16 @@ register("compound_identity", lambda spark, d: graph.assert_compounds(_asserted(
 register("compound_assertion_rows", lambda spark, d: graph.assert_compounds(_asserted(spark, d), REVIEW)[1], f"WITH {_REVIEWS} SELECT DISTINCT id AS subject_id, 'item' AS predicate_id, item AS object_id FROM hubs UNION SELECT id, 'by', by_ FROM hubs UNION SELECT id, 'note', note FROM hubs")
 
 
-def _roundtrip(spark, sf_dir):
-    made = graph.Graph(*graph.assert_compounds(_asserted(spark, sf_dir), REVIEW))
+def _roundtrip(spark, sf_dir, where="l_linenumber = 1"):
+    made = graph.Graph(*graph.assert_compounds(_asserted(spark, sf_dir, where), REVIEW))
     return conjunction.run_query(made.catalog([REVIEW]), text.parse_query('Review(item, by, "returned")'))
 
 
 register("compound_roundtrip", _roundtrip, f"WITH {_REVIEWS} SELECT DISTINCT item, by_ AS by FROM hubs WHERE note = 'returned'")
+_REVIEWS_WHOLE = _REVIEWS.replace(" WHERE l_linenumber = 1", "")
+register("compound_identity_whole", lambda spark, d: graph.assert_compounds(_asserted(spark, d, "true"), REVIEW)[0], f"WITH {_REVIEWS_WHOLE} SELECT DISTINCT id FROM hubs")
+register("compound_assertion_rows_whole", lambda spark, d: graph.assert_compounds(_asserted(spark, d, "true"), REVIEW)[1], f"WITH {_REVIEWS_WHOLE} SELECT DISTINCT id AS subject_id, 'item' AS predicate_id, item AS object_id FROM hubs UNION SELECT id, 'by', by_ FROM hubs UNION SELECT id, 'note', note FROM hubs")
+register("compound_roundtrip_whole", lambda spark, d: _roundtrip(spark, d, "true"), f"WITH {_REVIEWS_WHOLE} SELECT DISTINCT item, by_ AS by FROM hubs WHERE note = 'returned'")
 
 # Changes
 NEW = [s.Vertex("nation/1"), s.Vertex("nation/new"), s.Edge("nation/new", "in_region", "region/1"), s.Edge("nation/1", "in_region", "region/1"), s.Edge("nation/new", "in_region", "region/1")]

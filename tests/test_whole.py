@@ -33,3 +33,13 @@ def test_tree_closures_reach_orders(spark):
     assert any(b.startswith("order/") and a.startswith("region/") for a, b in want)
     assert rows(q.QUERIES["closure_reachable_all_whole"](spark, LARGER)) == sorted(want)
     assert rows(q.QUERIES["recursive_path_count_sql_whole"](spark, LARGER)) == [(sum(a == "region/1" for a, _ in want),)]
+
+
+def test_compounds_of_every_line(spark):
+    lines = pq.read_table(f"{LARGER}/lineitem.parquet", columns=["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"]).to_pylist()
+    facts = {(f"part/{r['l_partkey']}", f"a,b:{r['l_orderkey']}", "returned" if r["l_returnflag"] == "R" else "kept") for r in lines}
+    ids = {x: f"Review:by={x[1].replace(',', '%2C').replace(':', '%3A')},item={x[0]},note={x[2]}" for x in facts}
+    assert len(facts) > 2 * sum(r["l_linenumber"] == 1 for r in lines)
+    assert rows(q.QUERIES["compound_identity_whole"](spark, LARGER)) == sorted((i,) for i in ids.values())
+    assert rows(q.QUERIES["compound_assertion_rows_whole"](spark, LARGER)) == sorted((i, p, v) for x, i in ids.items() for p, v in zip(("item", "by", "note"), x, strict=True))
+    assert rows(q.QUERIES["compound_roundtrip_whole"](spark, LARGER).select("item", "by")) == sorted(x[:2] for x in facts if x[2] == "returned")
