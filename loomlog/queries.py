@@ -245,6 +245,11 @@ register("insert_vertices_idempotent", lambda spark, d: the_graph(spark, d).inse
 register("delete_facts_no_cascade", lambda spark, d: the_graph(spark, d).delete([s.Vertex("nation/1"), s.Edge("nation/2", "in_region", "region/1"), s.Edge("nation/2", "in_region", "none")]).edges.where("predicate_id = 'in_region'"), f"{_REGION_EDGES} EXCEPT SELECT 'nation/2', 'in_region', 'region/1'")
 register("delete_vertices", lambda spark, d: the_graph(spark, d).delete([s.Vertex("nation/1")]).vertices.where("id LIKE 'nation/%'"), "SELECT concat('nation/', n_nationkey) AS id FROM nation WHERE n_nationkey != 1")
 register("vertex_closure_on_load", lambda spark, d: graph.Graph(spark.createDataFrame([("extra",)], "id string"), edge_rows(spark, d, ("in_region", "based_in"))).close_vertices().vertices, "SELECT concat('nation/', n_nationkey) AS id FROM nation UNION SELECT concat('region/', n_regionkey) FROM nation UNION SELECT concat('supplier/', s_suppkey) FROM supplier UNION SELECT concat('nation/', s_nationkey) FROM supplier UNION SELECT 'extra'")
+register("insert_facts_idempotent_whole", lambda spark, d: the_graph(spark, d).insert(NEW).insert(NEW).edges, WITH + "SELECT * FROM edges UNION SELECT 'nation/new', 'in_region', 'region/1'")
+register("insert_vertices_idempotent_whole", lambda spark, d: the_graph(spark, d).insert(NEW).vertices, WITH + "SELECT id FROM vertices UNION SELECT 'nation/new'")
+register("delete_facts_no_cascade_whole", lambda spark, d: the_graph(spark, d).delete([s.Vertex("nation/1"), s.Edge("nation/2", "in_region", "region/1"), s.Edge("nation/2", "in_region", "none")]).edges, WITH + "SELECT * FROM edges EXCEPT SELECT 'nation/2', 'in_region', 'region/1'")
+register("delete_vertices_whole", lambda spark, d: the_graph(spark, d).delete([s.Vertex("nation/1")]).vertices, WITH + "SELECT id FROM vertices WHERE id != 'nation/1'")
+register("vertex_closure_on_load_whole", lambda spark, d: graph.Graph(spark.createDataFrame([("extra",)], "id string"), edge_rows(spark, d)).close_vertices().vertices, WITH + "SELECT subject_id AS id FROM edges UNION SELECT object_id FROM edges UNION SELECT 'extra'")
 register("what_if_overlay", lambda spark, d: conjunction.run_query(the_graph(spark, d).overlay([s.Edge("nation/new", "in_region", "region/0")]).catalog(SCHEMAS), text.parse_query('in_region(n, "region/0")')), "SELECT concat('nation/', n_nationkey) AS n FROM nation WHERE n_regionkey = 0 UNION SELECT 'nation/new'")
 
 # External predicates

@@ -43,3 +43,11 @@ def test_compounds_of_every_line(spark):
     assert rows(q.QUERIES["compound_identity_whole"](spark, LARGER)) == sorted((i,) for i in ids.values())
     assert rows(q.QUERIES["compound_assertion_rows_whole"](spark, LARGER)) == sorted((i, p, v) for x, i in ids.items() for p, v in zip(("item", "by", "note"), x, strict=True))
     assert rows(q.QUERIES["compound_roundtrip_whole"](spark, LARGER).select("item", "by")) == sorted(x[:2] for x in facts if x[2] == "returned")
+
+
+def test_changes_show_large_predicates(spark, sf):
+    placed = pq.read_table(f"{sf}/orders.parquet").num_rows
+    for name in ("insert_facts_idempotent_whole", "delete_facts_no_cascade_whole"):
+        assert q.QUERIES[name](spark, sf).where("predicate_id = 'placed_by'").count() == placed
+    for name in ("insert_vertices_idempotent_whole", "delete_vertices_whole", "vertex_closure_on_load_whole"):
+        assert q.QUERIES[name](spark, sf).where("id LIKE 'order/%'").count() == placed
