@@ -26,13 +26,17 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the least id, and of rows that share an id one. Rows with a null id stay."""
+    """Keeps of each group of near duplicates the document with the least id, and of rows that share an id one: the least text that is not blank, if there is one. Rows with a null id stay."""
     found = jaccard_join.join(docs)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    row = F.struct(*(F.col(f"`{x}`") for x in kept.columns))
+    text = F.col("text").cast("string")
+    order = F.struct((~F.coalesce(text.rlike(r"\S"), F.lit(False))).alias("blank"), text.alias("text"), F.to_json(row).alias("json"))
+    one = kept.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    return one.unionByName(kept.where("doc_id IS NULL"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

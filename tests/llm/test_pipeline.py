@@ -1,4 +1,5 @@
 
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomlog.llm import queries
@@ -61,3 +62,11 @@ def test_odd_and_empty_documents(spark, tmp_path, docs_rows):
     assert out[2].where("doc_id IS NULL").count() == 3
     write(spark, tmp_path / "empty", [], [], [])
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/empty").isEmpty()
+
+
+def test_a_text_outlives_blank_rows_of_its_id(spark):
+    rows = [(i, t, "en") for i in range(40) for t in (None, " \n", f"text {i} b", f"text {i} a", "")] + [(99, None, "en"), (None, "", "en")]
+    for seed in (1, 2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").orderBy(F.rand(seed)).repartition(5)
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([*((i, f"text {i} a") for i in range(40)), (99, None), (None, "")], key=repr)
