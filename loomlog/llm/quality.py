@@ -1,7 +1,7 @@
 """Quality classifier: similarity-weighted votes of labelled neighbours in a latent semantic space.
 
 A text is counted as hashed features: the shapes of its words (case, digits and
-signs kept, letters alike), their last letters, word repeats, and how varied
+signs kept, letters alike), their last three shapes, word repeats, and how varied
 its words are. Counts are damped, weighted by inverse document frequency and
 projected on the leading singular directions of a bounded sample of labelled
 texts. The sample's unit vectors are broadcast (at most REFERENCES x DIMENSIONS
