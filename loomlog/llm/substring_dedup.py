@@ -6,37 +6,47 @@ nodes at depth WINDOW that more than one suffix reaches: every deeper internal
 node lies below one of them, so trees are cut there, and runs of such nodes
 along a document are its maximal repeats.
 
-Suffixes are split by their prefix: a window belongs to the group of the least
-PREFIX-word run in it (its anchor), which equal windows share: the rarest by a
-count sketch of all documents, then the least hash. So a frequent line draws
-only windows that lie in frequent text altogether, which are few different
-ones, and groups stay small. Consecutive
-windows with one anchor travel as one row: the anchor's prefix, the place, and
-five bytes of path hash for each window, instead of 20 words for each suffix.
-Before the shuffle each task merges its own trees (the first place of a window
-goes on, later ones are repeats already), so a passage that a third of all
-documents share reaches its group once from each task and not once from each
-document. A group is read in order of place; of a group too large for memory
-only the distinct nodes seen so far are held.
+Texts are packed into chunks of bounded size, a row each. A suffix belongs to
+the tree of a prefix: PREFIX words at the anchor of its window (the run of that
+many words whose hash is least), which equal windows share. The prefixes are
+counted first: each chunk sends the names of its own once, and is told how many
+suffixes each one has. A suffix whose prefix no other chunk has is a leaf and
+stays; a prefix with more suffixes than a tree may hold is lengthened to the
+whole window. So trees are of bounded size, and are dealt to groups that fit
+into memory. Consecutive suffixes of one tree travel as one row of word codes.
+
+A group sorts its suffixes by rolling names of their first WINDOW words and
+compares equal ones word by word (48 bits each); where names collide it sorts
+the words themselves. Each chunk merges its own trees first (the first place of
+a window goes on, later ones are repeats already), so a passage that a third of
+all documents share reaches its group once from each chunk. Of a group that
+comes in more rows than are read at once, one place of each node is kept.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomlog.llm import _common as c
-from loomlog.llm.sketch import Tally, cells, levels
 
 WINDOW, PREFIX = 20, 8
-#: Words of the trees that one task merges at a time, and windows that a group reader holds at a time.
-TASK_WORDS, HELD_WINDOWS = 1_500_000, 1_000_000
+#: Bytes of text in a chunk (a longer text is a chunk of its own); each row counts ROW_BYTES more.
+CHUNK_BYTES, ROW_BYTES = 2_500_000, 100
+#: Suffixes that a group is planned for and reads at once, and suffixes beyond which a prefix is lengthened.
+GROUP_WINDOWS, TREE_WINDOWS = 150_000, 30_000
+#: Bytes of text whose prefixes are counted in one group.
+COUNTED_BYTES = 1 << 27
+#: Bytes of a word's code.
+CODE = 6
 #: Rows with a null id are one document after all others.
 LAST = (1 << 63) - 1
 
@@ -66,182 +76,319 @@ def runs(flags: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], at[last] + 1
 
 
-def ranked(prefixes: np.ndarray, level_of: np.ndarray) -> np.ndarray:
-    """Prefix hashes with how frequent they are in the leading byte."""
-    return (level_of[cells(prefixes)].astype(np.uint64) << np.uint64(56)) | (prefixes >> np.uint64(8))
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + length), one after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
 
 
-def _tally(prefix: int):
-    """Each task's sketch of all prefixes."""
+def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets in the order of the names."""
+    return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def pieces(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of ascending buckets: each one, where it begins, and where it ends."""
+    cuts = np.flatnonzero(np.diff(buckets)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(buckets)], strict=True) if len(buckets) else ():
+        yield int(buckets[a]), int(a), int(b)
+
+
+def low_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :n]
+
+
+def from_bytes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel()
+
+
+# Chunks
+
+
+def _pack(size: int):
+    """Consecutive rows as chunks: a name, the bytes of text, and the rows as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        name, held, weight = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal name, held, weight
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                for part in held:
+                    to.write_batch(part)
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([weight]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "bytes", "data"])
+            name, held, weight = name + 1, [], 0
+            return row
+
         for batch in batches:
-            for text in batch.column(0):
-                tally.add(c.rolling(c.hash_words(c.words_of(text.as_py())), prefix))
-        for part, blob in tally.parts():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
-        del tally
-        c.release()
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
+            start = 0
+            while start < batch.num_rows:
+                upto = np.cumsum(sizes[start:])
+                n = int(np.searchsorted(upto, size - weight)) + 1  # the row that fills the chunk is its last
+                n = min(n, batch.num_rows - start)
+                held.append(batch.slice(start, n))
+                weight += int(upto[n - 1])
+                start += n
+                if weight >= size:
+                    yield out()
+        if held:
+            yield out()
 
     return run
 
 
-def _merge(docs: list[tuple[int, int, list[bytes]]], window: int, prefix: int, level_of: np.ndarray) -> Iterator[tuple[int, list]]:
-    """The trees of some documents: repeats within them (kind 0), and the rows that go to the groups (kind 1)."""
-    docs.sort(key=lambda d: d[:2])
-    lengths = np.array([len(w) for *_, w in docs])
-    hashes = np.concatenate([c.hash_words(w) for *_, w in docs])
-    if len(hashes) < window:
-        return
-    doc = np.repeat(np.arange(len(docs)), lengths)
-    start = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    ids, prints = np.array([d[0] for d in docs]), np.array([d[1] for d in docs])
-    paths = c.rolling(hashes, window)
-    prefixes = c.rolling(hashes, prefix)
-    n = len(paths)
-    whole = doc[:n] == doc[window - 1 :]
-    at = anchors(ranked(prefixes, level_of), window - prefix + 1)
-    places = np.flatnonzero(whole)
-    _, first, inverse = np.unique(paths[places], return_index=True, return_inverse=True)
-    first = places[first][inverse]
-    repeat = np.zeros(n, bool)
-    repeat[places] = (ids[doc[first]] != ids[doc[places]]) | (start[first] != start[places])
-    low, high = runs(repeat, doc[:n])
-    yield 0, [ids[doc[low]], prints[doc[low]], start[low], start[high - 1] + window]
-    low, high = runs(whole & ~repeat, doc[:n], at)
-    packed = (paths >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    yield 1, [prefixes[at[low]].astype(np.int64), ids[doc[low]], prints[doc[low]], start[low], [packed[a:b].tobytes() for a, b in zip(low, high, strict=True)]]
-
-
-NAMES = ["kind", "prefix", "doc", "print", "low", "high", "paths"]
-SCHEMA = "kind int, prefix long, doc long, print long, low int, high int, paths binary"
-
-
-def _trees(window: int, prefix: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of = np.frombuffer(shared.value, np.uint8)
-
-        def out(docs: list) -> Iterator[pa.RecordBatch]:
-            for kind, x in _merge(docs, window, prefix, level_of):
-                for a in range(0, len(x[0]), 100_000):
-                    part = [v[a : a + 100_000] for v in x]
-                    n = len(part[0])
-                    if kind:
-                        columns = [pa.array(part[0]), pa.array(part[1]), pa.array(part[2]), pa.array(part[3].astype(np.int32)), pa.nulls(n, pa.int32()), pa.array(part[4], pa.binary())]
-                    else:
-                        columns = [pa.nulls(n, pa.int64()), pa.array(part[0]), pa.array(part[1]), pa.array(part[2].astype(np.int32)), pa.array(part[3].astype(np.int32)), pa.nulls(n, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns], NAMES)
-            docs.clear()
-            c.release()
+def opened(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def chunk_words(rows: pa.Table) -> list[list[bytes]]:
+    return [x.split() if x else [] for x in rows.column(1).cast(pa.binary()).to_pylist()]
+
+
+class Windows:
+    """The windows of a chunk: each word's code and place, each window's tree, and which windows come first in the chunk."""
+
+    def __init__(self, data: bytes, window: int, prefix: int):
+        rows = opened(data)
+        words = chunk_words(rows)
+        self.window = window
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.codes = np.concatenate([*map(c.hash_words, words), np.zeros(0, np.uint64)])
+        self.ids = rows.column(0).to_numpy().astype(np.int64)
+        self.doc = np.repeat(np.arange(len(words)), self.lengths)
+        self.start = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        n = max(0, len(self.codes) - window + 1)
+        whole = self.doc[:n] == self.doc[len(self.doc) - n :]
+        self.places = np.flatnonzero(whole)
+        self.paths = c.rolling(self.codes, window)
+        prefixes = c.rolling(self.codes, prefix)
+        self.at = anchors(prefixes, window - prefix + 1) if n else self.places
+        self.repeat = np.zeros(n, bool)
+        if len(self.places):
+            _, head = nodes(self.codes, self.places, self.paths[self.places], self.ids[self.doc[self.places]], self.start[self.places], window)
+            self.repeat[self.places] = ~same_place(self.ids[self.doc[self.places]], self.start[self.places], head)
+        self.first = whole & ~self.repeat
+        self.trees, self.tree_of, self.sizes = np.unique(prefixes[self.at[self.first]], return_inverse=True, return_counts=True)
+
+
+def same_place(doc: np.ndarray, start: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether each is at the place of its node's head."""
+    return (doc == doc[head]) & (start == start[head])
+
 
-        docs, size = [], 0
+def nodes(codes: np.ndarray, at: np.ndarray, names: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at some places by their first words and place, and for each suffix the first one of its node.
+
+    Suffixes are sorted by name; neighbours of one name are compared word by
+    word, and if any differ (a collision of names) all are sorted by words.
+    """
+    order = np.lexsort((start, doc, names))
+    equal = names[order[1:]] == names[order[:-1]]
+    a, b = at[order[1:][equal]], at[order[:-1][equal]]
+    if any((codes[a + k] != codes[b + k]).any() for k in range(window)):
+        columns = [codes[at + k] for k in range(window)]
+        order = np.lexsort((start, doc, *columns))
+        equal = np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in columns])
+    fresh = np.concatenate([[True], ~equal])
+    head = np.empty(len(order), np.int64)
+    head[order] = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    return order, head
+
+
+# Counting prefixes
+
+
+def _ask(window: int, prefix: int, buckets: int):
+    """For each chunk and bucket the names of the chunk's trees: 40 bits of each, and the logarithm of its suffixes there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for doc_id, mark, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = c.words_of(text)
-                    if len(words) >= window:
-                        docs.append((doc_id, mark, words))
-                        size += len(words)
-                    if size >= TASK_WORDS:
-                        yield from out(docs)
-                        docs, size = [], 0
-        if docs:
-            yield from out(docs)
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = Windows(data.as_py(), window, prefix)
+                sizes = np.ceil(np.log2(found.sizes)).astype(np.uint8)
+                rows = [(bucket, chunk, low_bytes(found.trees[a:b], 5).tobytes(), sizes[a:b].tobytes()) for bucket, a, b in pieces(bucket_of(found.trees, buckets))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "names", "sizes"])
+                c.release()
 
     return run
 
 
-def _groups(window: int):
-    """Over rows sorted by (kind, prefix, doc, low): the windows of a group that an earlier place has, as word intervals. Rows of kind 0 pass."""
+def _answer(rows: pa.Table) -> pa.Table:
+    """For each chunk's names in one bucket the logarithm of the suffixes of all chunks, plus one; 0 where no other chunk has the prefix."""
+    blobs = rows.column("names").to_pylist()
+    names = np.concatenate([from_bytes(x, 5) for x in blobs])
+    sizes = np.frombuffer(b"".join(rows.column("sizes").to_pylist()), np.uint8)
+    _, inverse, chunks = np.unique(names, return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, weights=2.0**sizes)
+    level = np.where(chunks > 1, 1 + np.ceil(np.log2(total)), 0).astype(np.uint8)[inverse]
+    ends = np.cumsum([len(x) // 5 for x in blobs])
+    starts = np.concatenate([[0], ends[:-1]])
+    going = np.where(level > 0, 2.0**sizes, 0)
+    out = [[level[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], [int(going[a:b].sum()) for a, b in zip(starts, ends, strict=True)]]
+    c.release()
+    return pa.table([rows.column("bucket"), rows.column("chunk"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64())], ["bucket", "chunk", "levels", "going"])
+
+
+# Suffixes to groups
+
+#: kind 0: intervals of words that repeat within the chunk. Kind 1: suffixes that go to a group.
+SHIPPED = "kind int, bucket long, chunk long, runs binary, codes binary"
+
+
+def _ship(window: int, prefix: int, buckets: int, tree_windows: int):
+    """Over chunks with their answers."""
+    limit = 1 + np.log2(tree_windows)
+
+    def rows_of(chunk: int, data: bytes, answers: list | None) -> Iterator[tuple]:
+        found = Windows(data, window, prefix)
+        low, high = runs(found.repeat, found.doc[: len(found.repeat)])
+        if len(low):
+            yield 0, chunk % buckets, chunk, np.stack([low, high - 1 + window], 1).astype("<i8").tobytes(), None
+        if not answers:
+            return
+        level = np.frombuffer(b"".join(x["levels"] for x in sorted(answers, key=lambda x: x["bucket"])), np.uint8)[found.tree_of]
+        first = np.flatnonzero(found.first)
+        going = np.zeros(len(found.first), bool)
+        going[first] = level > 0
+        key = np.zeros(len(going), np.uint64)
+        key[first] = found.trees[found.tree_of]
+        large = np.zeros(len(going), bool)
+        large[first] = level > limit
+        key[large] = c.mix(found.paths[large])  # the prefix is lengthened to the whole window
+        low, high = runs(going, found.doc[: len(going)], found.at, key)
+        bucket = bucket_of(key[low], buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, low, count = bucket[order], low[order], (high - low)[order]
+        table = np.stack([low, count, found.ids[found.doc[low]], found.start[low]], 1).astype("<i8")
+        words = low_bytes(found.codes, CODE)[spread(low, count + window - 1)]
+        ends = np.concatenate([[0], np.cumsum(count + window - 1)])
+        for b, i, j in pieces(bucket):
+            yield 1, b, chunk, table[i:j].tobytes(), words[ends[i] : ends[j]].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(0, np.int64)
-        seen = (None, empty, empty, empty)  # of the last prefix: its paths, and the first doc and place of each
-
-        def out(rows: list[np.ndarray], blobs: list[bytes]) -> pa.RecordBatch | None:
-            nonlocal seen
-            prefix, doc, mark, low = rows
-            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 5
-            raw = np.zeros((int(sizes.sum()), 8), np.uint8)
-            raw[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
-            path = raw.view("<i8").ravel()
-            row = np.repeat(np.arange(len(prefix)), sizes)
-            place = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            known = len(seen[1]) if seen[0] is not None and seen[0] == prefix[0] else 0
-            all_prefix, all_path, all_doc, all_place = prefix[row], path, doc[row], place
-            if known:
-                all_prefix = np.concatenate([np.full(known, prefix[0]), all_prefix])
-                all_path, all_doc, all_place = (np.concatenate([a, b]) for a, b in zip(seen[1:], (path, all_doc, place), strict=True))
-            order = np.lexsort((all_place, all_doc, all_path, all_prefix))
-            p, w = all_prefix[order], all_path[order]
-            head = np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])
-            first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            repeat = np.zeros(len(order), bool)
-            repeat[order] = (all_doc[first] != all_doc[order]) | (all_place[first] != all_place[order])
-            mine = order[head & (p == prefix[-1])]
-            seen = (prefix[-1], all_path[mine], all_doc[mine], all_place[mine])
-            a, b = runs(repeat[known:], row)
-            if not len(a):
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(mark[row[a]]), pa.array(place[a].astype(np.int32)), pa.array((place[b - 1] + window).astype(np.int32))], ["doc", "print", "low", "high"])
-
-        held, blobs, size = [], [], 0
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
-            plain = int((batch.column(0).to_numpy() == 0).sum())
-            if plain:
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(0, plain) for i in (2, 3, 4, 5)], ["doc", "print", "low", "high"])
-            batch = batch.slice(plain)
-            if not batch.num_rows:
-                continue
-            held.append([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4)])
-            part = batch.column(6).to_pylist()
-            blobs += part
-            size += sum(map(len, part)) // 5
-            if size >= HELD_WINDOWS:
-                if found := out([np.concatenate(x) for x in zip(*held, strict=True)], blobs):
-                    yield found
-                held, blobs, size = [], [], 0
+            for i in range(batch.num_rows):
+                rows = list(rows_of(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
+                for a in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[a : a + 64], strict=True), kinds, strict=True)], ["kind", "bucket", "chunk", "runs", "codes"])
+                del rows
                 c.release()
-        if blobs and (found := out([np.concatenate(x) for x in zip(*held, strict=True)], blobs)):
-            yield found
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Word intervals [low, high) of the documents that windows with an earlier start cover: doc, print (hash of the text), low, high."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("print"), F.col(text_col).cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(levels(rows.select("text").mapInArrow(_tally(prefix), "part int, blob binary")))
-    trees = rows.mapInArrow(_trees(window, prefix, shared), SCHEMA)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # repeats within a task take the same way as suffixes, so that texts are read once; each goes to a group of its own
-    spread = trees.withColumn("prefix", F.coalesce("prefix", F.xxhash64("doc", "low"))).repartition(n, "prefix").sortWithinPartitions("kind", "prefix", "doc", "low")
-    return spread.mapInArrow(_groups(window), "doc long, print long, low int, high int")
+class Group:
+    """The trees of one bucket, read part by part; of earlier parts one suffix of each node is held."""
+
+    def __init__(self, window: int, size: int, names: Callable = c.rolling):
+        self.window, self.size, self.names = window, size, names
+        self.clear()
+
+    def clear(self) -> None:
+        self.chunks, self.tables, self.codes, self.waiting = [], [], [], 0
+
+    def add(self, chunk: int, table: bytes, codes: bytes) -> Iterator[tuple[int, bytes]]:
+        rows = np.frombuffer(table, "<i8").reshape(-1, 4)
+        self.chunks.append(np.full(len(rows), chunk))
+        self.tables.append(rows)
+        self.codes.append(from_bytes(codes, CODE))
+        self.waiting += int(rows[:, 1].sum())
+        if self.waiting >= self.size:
+            yield from self.fold()
+
+    def fold(self) -> Iterator[tuple[int, bytes]]:
+        """Repeats among what is held, as intervals by chunk; one suffix of each node stays."""
+        if not self.tables:
+            return
+        chunk, table, codes = np.concatenate(self.chunks), np.concatenate(self.tables), np.concatenate(self.codes)
+        count, row = table[:, 1], np.repeat(np.arange(len(table)), table[:, 1])
+        begin = np.cumsum(count + self.window - 1) - count - self.window + 1
+        at = spread(begin, count)
+        step = at - begin[row]
+        word, doc, start = table[row, 0] + step, table[row, 2], table[row, 3] + step
+        _, head = nodes(codes, at, self.names(codes, self.window)[at], doc, start, self.window)
+        stays = same_place(doc, start, head)
+        order = np.flatnonzero(~stays)
+        order = order[np.lexsort((word[order], chunk[row[order]]))]
+        if len(order):
+            a, b = word[order], chunk[row[order]]
+            cut = np.concatenate([[True], (np.diff(a) > 1) | (b[1:] != b[:-1])])
+            low, high, owner = a[cut], a[np.concatenate([cut[1:], [True]])] + self.window, b[cut]
+            spans = np.stack([low, high], 1).astype("<i8")
+            for name, i, j in pieces(owner):
+                yield name, spans[i:j].tobytes()
+        keep = np.flatnonzero(stays)
+        self.chunks = [chunk[row[keep]]]
+        self.tables = [np.stack([word[keep], np.ones(len(keep), np.int64), doc[keep], start[keep]], 1)]
+        self.codes = [codes[(at[keep][:, None] + np.arange(self.window)).ravel()]]
+        self.waiting = 0
+
+
+def _groups(window: int, size: int):
+    """Over rows of SHIPPED sorted by kind and bucket: intervals of words that repeat, by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now = Group(window, size), None
+
+        def out(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["chunk", "spans"])
+
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                kind, bucket, chunk, table, codes = (batch.column(k)[i].as_py() for k in range(5))
+                if kind == 0:
+                    found.append((chunk, table))
+                    continue
+                if bucket != now:
+                    found += group.fold()
+                    group.clear()
+                    now = bucket
+                found += group.add(chunk, table, codes)
+            yield from out(found)
+        yield from out(list(group.fold()))
+        group.clear()
+        c.release()
+
+    return run
+
+
+# Cutting
 
 
 def _keep(columns: list[str]):
-    """Cuts the spans out of the texts; columns after the third pass."""
+    """Over chunks with the intervals of their words that go: the rows, without these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                rows = []
-                for doc_id, text, spans in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    words = c.words_of(text)
-                    keep = np.ones(len(words), bool)
-                    for s in spans or ():
-                        keep[s["low"] : s["high"]] = False
-                    kept = words if keep.all() else [w for w, k in zip(words, keep, strict=True) if k]
+            for i in range(batch.num_rows):
+                rows = opened(batch.column(0)[i].as_py())
+                words = chunk_words(rows)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+                spans = np.frombuffer(b"".join(batch.column(1)[i].as_py() or ()), "<i8").reshape(-1, 2)
+                change = np.zeros(int(ends[-1]) + 1, np.int64)
+                np.add.at(change, spans[:, 0], 1)
+                np.add.at(change, spans[:, 1], -1)
+                keep = np.cumsum(change)[:-1] == 0
+                left, digests, texts = [], [], []
+                for own, end, text in zip(words, ends.tolist(), rows.column(1), strict=True):
+                    mine = keep[end - len(own) : end]
+                    kept = own if mine.all() else [w for w, k in zip(own, mine.tolist(), strict=True) if k]
                     joined = b" ".join(kept)
-                    changed = len(kept) < len(words)
-                    rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if changed else text))
-                out = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*out, *(part.column(i) for i in range(3, part.num_columns))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *columns])
+                    left.append(len(kept))
+                    digests.append(hashlib.sha256(joined).hexdigest())
+                    texts.append(joined.decode("utf-8", "surrogatepass") if len(kept) < len(own) else text.as_py())
+                n_words = np.diff(ends, prepend=0)
+                made = [pa.array(n_words), pa.array(n_words - np.array(left, np.int64)), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+                others = [x.combine_chunks() for x in rows.columns]
+                yield from pa.table([others[2], *made, *others[3:]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *columns]).combine_chunks().to_batches()
+            c.release()
 
     return run
 
@@ -253,12 +400,24 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     joined by a space. A null or blank text has no words; a text of fewer words
     than a window loses none. Rows that share an id are places of one document:
     at equal starts none is earlier. Rows with a null id are one document after
-    all others. Further columns are not read. Suffix rows are shuffled once, texts once, to meet their intervals.
+    all others. Further columns are not read. The chunks are stored in the
+    scratch folder and shuffled, compressed, to meet the counts of their
+    prefixes and again to meet their intervals; of the words, those of suffixes
+    whose prefix another chunk has too are shuffled.
     """
+    spark, folder, prefix = docs.sparkSession, c.scratch(docs.sparkSession, "substrings"), min(PREFIX, window)
     more = [] if keep is None else [keep.alias("row")]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
-    schema = StructType([*StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string").fields, *rows.schema.fields[2:]])
-    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("print", F.xxhash64("text"))
-    spans = repeats(docs, window, min(PREFIX, window), id_col, text_col).groupBy("doc", "print").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    names = ["row"] * len(more)
-    return rows.join(spans, ["doc", "print"], "left").select("doc_id", "text", "spans", *names).mapInArrow(_keep(names), schema)
+    doc_id = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"), doc_id.alias("doc_id"), *more)
+    schema = StructType([*StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept string").fields, *rows.schema.fields[3:]])
+    chunks = c.stored(rows.mapInArrow(_pack(CHUNK_BYTES), "chunk long, bytes long, data binary"), f"{folder}/chunks")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    asked = chunks.select("chunk", "data").mapInArrow(_ask(window, prefix, max(n, -(-total // COUNTED_BYTES))), "bucket long, chunk long, names binary, sizes binary")
+    answers = c.stored(asked.groupBy("bucket").applyInArrow(_answer, "bucket long, chunk long, levels binary, going long"), f"{folder}/answers")
+    buckets = max(n, -(-(answers.agg(F.sum("going")).first()[0] or 0) // GROUP_WINDOWS))
+    told = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "levels")).alias("answers"))
+    shipped = chunks.join(told, "chunk", "left").select("chunk", "data", "answers").mapInArrow(_ship(window, prefix, buckets, TREE_WINDOWS), SHIPPED)
+    spans = shipped.repartition(n, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_groups(window, GROUP_WINDOWS), "chunk long, spans binary")
+    gone = spans.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
+    return chunks.join(gone, "chunk", "left").select("data", "spans").mapInArrow(_keep(["row"] * len(more)), schema)

@@ -133,11 +133,47 @@ def test_dedup_of_small_alphabets(spark, window):
 
 
 def test_dedup_in_small_pieces(spark, docs, docs_rows, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "TASK_WORDS", 300)
-    monkeypatch.setattr(substring_dedup, "HELD_WINDOWS", 50)
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring_dedup, "GROUP_WINDOWS", 50)
     assert deduped(docs) == cut([r[:2] for r in docs_rows])
 
 
+def test_dedup_of_oversized_trees(spark, monkeypatch):
+    """One prefix with most suffixes, which differ: it is lengthened, and its group is read part by part."""
+    chance = random.Random(3)
+    line = [f"l{i}" for i in range(9)]
+    tails = [[f"t{chance.randrange(40)}" for _ in range(16)] for _ in range(25)]
+    rows = [(i, " ".join([*chance.choice(tails), *line, *chance.choice(tails)])) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = cut(rows)
+    assert sum(r[2] for r in want) > 1000
+    for tree in (1, 20, 10**6):
+        monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 1500)
+        monkeypatch.setattr(substring_dedup, "GROUP_WINDOWS", 40)
+        monkeypatch.setattr(substring_dedup, "TREE_WINDOWS", tree)
+        assert deduped(table) == want
+
+
+def test_names_that_collide_are_told_apart_by_words():
+    """Windows whose names agree in all bits but one, and in all bits, are repeats only where their words are equal."""
+    chance = np.random.default_rng(2)
+    words = chance.integers(0, 1 << 48, 30, dtype=np.uint64)
+    tables, codes, want = [], [], set()
+    seen = {}
+    for i in range(200):
+        text = chance.choice(words[:3], 8)
+        tables.append(np.array([[10 * i, 4, i, 0]], "<i8").tobytes())
+        codes.append(substring_dedup.low_bytes(text, substring_dedup.CODE).tobytes())
+        for k in range(4):
+            if seen.setdefault(tuple(text[k : k + 5]), (i, k)) != (i, k):
+                want.add(10 * i + k)
+    for names in (lambda x, k: np.zeros(len(x) - k + 1, np.uint64), lambda x, k: substring_dedup.c.rolling(x, k) & np.uint64(1), substring_dedup.c.rolling):
+        group = substring_dedup.Group(5, 60, names)
+        spans = [s for i in range(200) for s in group.add(7, tables[i], codes[i])] + list(group.fold())
+        got = {w for _, blob in spans for low, high in np.frombuffer(blob, "<i8").reshape(-1, 2) for w in range(low, high - 4)}
+        assert got == want
+
+
 def test_dedup_of_odd_rows(odd, empty):
     table, rows = odd
     assert deduped(table) == cut([r[:2] for r in rows])
