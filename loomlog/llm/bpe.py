@@ -155,12 +155,14 @@ def bpe(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_cache: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids and the decoded text.
 
     A null or empty text has no ids and decodes to the empty text. A null id
     stays null, repeated rows stay repeated, further columns are not read. No
-    shuffle: each text is encoded where it is scanned.
+    shuffle: each text is encoded where it is scanned. With keep_cache a Python
+    worker keeps its cache of pieces for later tasks, which take less time then;
+    without, its memory is free for other stages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +187,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                     columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        if not keep_cache:
+            coder.cache = {}
         c.release()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
