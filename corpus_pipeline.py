@@ -56,7 +56,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document that is left, with the digests of ids and of the text decoded from them."""
-    return bpe.encode_decode(docs, public_tokenizers.path(bpe.VOCABULARY)).drop("decoded")
+    return bpe.encode_decode(docs, public_tokenizers.path(bpe.VOCABULARY), keep_cache=False).drop("decoded")
 
 
 STAGES = [
