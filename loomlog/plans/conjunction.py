@@ -51,20 +51,34 @@ def scan(relation: Relation, atom: s.Atom, number: int, rows: DataFrame | None =
     columns: dict[str, str] = {}
     for term, name, kind in zip(atom.terms, names, kinds, strict=True):
         if isinstance(term, s.Constant):
-            rows = rows.where(F.col(name) == F.lit(term.value).cast(kind)) if term.value is not None else rows.where(F.lit(None).cast("boolean"))
+            rows = rows.where(F.col(name) == constant(term, kind)) if term.value is not None else rows.where(F.lit(None).cast("boolean"))
         elif isinstance(term, s.Variable):
             if term.name in columns:
-                rows = rows.where(F.col(name) == F.col(columns[term.name]))
+                rows = rows.where(equal(rows, name, rows, columns[term.name]))
             else:
                 columns[term.name] = name
     return Bound(rows.select(*columns.values()), columns)
 
 
+def constant(term: s.Constant, kind: str) -> Column:
+    """A constant that meets a column of some type: null, which matches nothing, where the type cannot hold it."""
+    number = isinstance(term.value, int | float) and not isinstance(term.value, bool)
+    return F.lit(term.value) if number and kind != "string" else F.lit(term.value).try_cast(kind)
+
+
+def equal(left: DataFrame, one: str, right: DataFrame, other: str) -> Column:
+    """Equality of two columns; text against another type compares as text."""
+    a, b = F.col(one), F.col(other)
+    if (dict(left.dtypes)[one] == "string") != (dict(right.dtypes)[other] == "string"):
+        a, b = a.cast("string"), b.cast("string")
+    return a == b
+
+
 def join(left: Bound, right: Bound) -> Bound:
     """Equi-join on the variables that both bind; the product where they share none."""
     shared = [v for v in right.columns if v in left.columns]
     if shared:
-        on = [F.col(left.columns[v]) == F.col(right.columns[v]) for v in shared]
+        on = [equal(left.rows, left.columns[v], right.rows, right.columns[v]) for v in shared]
         rows = left.rows.join(right.rows, on, "inner").drop(*(right.columns[v] for v in shared))
     else:
         rows = left.rows.crossJoin(right.rows)
@@ -81,14 +95,30 @@ OPERATIONS = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a
 
 
 def compare(node: s.Comparison, bound: Bound) -> Column:
-    """Numbers against text columns compare as numbers; nulls never match."""
+    """Numbers against text columns compare as numbers, and so do columns of different types in an order; nulls never match.
+
+    A text that is no value of the column's type equals none of its values, differs from all, and stands in no order to them.
+    """
     kinds = dict(bound.rows.dtypes)
     left, right = value(node.left, bound), value(node.right, bound)
+    if isinstance(node.left, s.Variable) and isinstance(node.right, s.Variable):
+        ends = [bound.columns[x.name] for x in (node.left, node.right)]
+        texts = [kinds[x] == "string" for x in ends]
+        if texts[0] != texts[1]:
+            as_one = (lambda x, _: x.cast("string")) if node.operator in ("=", "!=") else (lambda x, is_text: x.try_cast("double") if is_text else x)
+            left, right = as_one(left, texts[0]), as_one(right, texts[1])
     for one, other in ((node.left, node.right), (node.right, node.left)):
         number = isinstance(one, s.Constant) and isinstance(one.value, int | float) and not isinstance(one.value, bool)
         if number and isinstance(other, s.Variable) and kinds[bound.columns[other.name]] == "string":
             cast = F.col(bound.columns[other.name]).try_cast("double")
             left, right = (left, cast) if one is node.left else (cast, right)
+        text = isinstance(one, s.Constant) and isinstance(one.value, str)
+        if text and isinstance(other, s.Variable) and kinds[bound.columns[other.name]] != "string":
+            column = F.col(bound.columns[other.name])
+            cast = F.lit(one.value).try_cast(kinds[bound.columns[other.name]])
+            if node.operator == "!=":
+                return column.isNotNull() & F.coalesce(column != cast, F.lit(True))
+            left, right = (cast, right) if one is node.left else (left, cast)
     return OPERATIONS[node.operator](left, right)
 
 
@@ -186,7 +216,7 @@ def apply(catalog: Catalog, node: s.Literal, place: int, bound: Bound, strict: b
     if not denied.columns:
         truth = denied.rows.select(F.lit(1).alias(f"s{place}_t")).limit(1)
         return Bound(bound.rows.join(truth, F.lit(True), "left_anti"), bound.columns)
-    on = [F.col(bound.columns[v]) == F.col(c) for v, c in denied.columns.items()]
+    on = [equal(bound.rows, bound.columns[v], denied.rows, c) for v, c in denied.columns.items()]
     return Bound(bound.rows.join(denied.rows, on, "left_anti"), bound.columns)
 
 

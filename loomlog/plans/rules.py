@@ -156,6 +156,7 @@ class Program:
         self.catalog = catalog.copy()
         self.rules = program.of(s.Rule)
         self.rounds: dict[Key, int] = {}
+        self.kept: set[Key] = set()
         self.groups = groups(self.rules)
         self._facts()
         for group in self.groups:
@@ -195,6 +196,7 @@ class Program:
             self.catalog.add(Relation(name, tuple(f"c{i}" for i in range(arity)), lambda made=made: made, "memory"))
 
     def _define(self, key: Key, rows: DataFrame) -> None:
+        self.kept.discard(key)
         self.catalog.add(Relation(key[0], tuple(f"c{i}" for i in range(key[1])), lambda: rows, "derived"))
 
     def evaluate(self, wanted: set[Key] | None = None) -> Program:
@@ -221,11 +223,20 @@ class Program:
         parts = [head_rows(self.catalog, r) for r in self.rules if key_of(r.head) == key]
         self._define(key, union(same_types(self._known(key) + parts)))
 
+    def _store_inputs(self, keys: set[Key], folder: str) -> None:
+        """Writes the derived predicates that a fixpoint reads, so that no round computes them again."""
+        for key in keys:
+            relation = self.catalog.relations.get(key)
+            if relation is not None and relation.kind == "derived" and key not in self.rounds and key not in self.kept:
+                self._define(key, storage.stored(relation.read(), f"{folder}/input/{key[0]}-{key[1]}"))
+                self.kept.add(key)
+
     def _fixpoint(self, group: Group) -> None:
         inside = set(group.predicates)
         rules = [r for r in self.rules if key_of(r.head) in inside]
         places = {id(r): [i for i, x in enumerate(r.body) if isinstance(x, s.Atom) and key_of(x) in inside] for r in rules}
         folder = storage.scratch(self.catalog.spark, "fixpoint")
+        self._store_inputs({key_of(x.atom if isinstance(x, s.Negation) else x) for r in rules for x in r.body if isinstance(x, s.Atom | s.Negation)} - inside, folder)
         total, delta = {}, {}
         starts = {k: same_types(self._known(k) + [head_rows(self.catalog, r) for r in rules if key_of(r.head) == k and not places[id(r)]]) for k in group.predicates if self._known(k) or any(key_of(r.head) == k and not places[id(r)] for r in rules)}
         while lacking := inside - set(starts):

@@ -8,6 +8,9 @@ orders, parts and suppliers are vertices; `in_nation`, `in_region`,
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
+from functools import reduce
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +22,7 @@ from loomlog.operators import closure, graph, retrieval
 from loomlog.plans import conjunction, external, logical, rules
 from loomlog.plans import syntax as s
 from loomlog.plans.logical import Col, Context, Lit, Op, Param
-from loomlog.sources import text
+from loomlog.sources import migrations, text
 from loomlog.sources.catalog import Catalog, select_edges, select_vertex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +111,12 @@ register("edge_scan", ask("edge(subject, predicate, object)"), WITH + "SELECT su
 register("declared_predicate_scan", ask("in_nation(customer, nation)"), "SELECT DISTINCT concat('customer/', c_custkey) AS customer, concat('nation/', c_nationkey) AS nation FROM customer")
 register("table_binding", ask("nation(k, n, r)"), "SELECT DISTINCT n_nationkey AS k, n_name AS n, n_regionkey AS r FROM nation")
 register("alias_resolution", ask('Node(id), Vertex(id), Edge(id, "in_region", region)'), WITH + "SELECT DISTINCT v.id, e.object_id AS region FROM vertices v JOIN edges e ON e.subject_id = v.id AND e.predicate_id = 'in_region'")
+# Values of different types meet as text, and a constant that a column's type cannot hold matches nothing
+register("mixed_constant", ask('nation("x", n, r)'), "SELECT n_name AS n, n_regionkey AS r FROM nation WHERE CAST(n_nationkey AS VARCHAR) = 'x'")
+register("mixed_comparison", ask('nation(k, n, r), k = "x"'), "SELECT n_nationkey AS k, n_name AS n, n_regionkey AS r FROM nation WHERE CAST(n_nationkey AS VARCHAR) = 'x'")
+register("mixed_unequal", ask('nation(k, n, r), k != "x", k != "3"'), "SELECT n_nationkey AS k, n_name AS n, n_regionkey AS r FROM nation WHERE n_nationkey != 3")
+register("mixed_join", ask("nation(k, n, r), region(n, z)"), "SELECT n_nationkey AS k, n_name AS n, n_regionkey AS r, r_name AS z FROM nation JOIN region ON n_name = CAST(r_regionkey AS VARCHAR)")
+register("mixed_edge_join", ask('edge(a, "in_region", r), nation(a, _, _)'), WITH + "SELECT DISTINCT subject_id AS a, object_id AS r FROM edges JOIN nation ON subject_id = CAST(n_nationkey AS VARCHAR) WHERE predicate_id = 'in_region'")
 
 
 def _table_where(spark, sf_dir):
@@ -250,6 +259,29 @@ register("insert_vertices_idempotent_whole", lambda spark, d: the_graph(spark, d
 register("delete_facts_no_cascade_whole", lambda spark, d: the_graph(spark, d).delete([s.Vertex("nation/1"), s.Edge("nation/2", "in_region", "region/1"), s.Edge("nation/2", "in_region", "none")]).edges, WITH + "SELECT * FROM edges EXCEPT SELECT 'nation/2', 'in_region', 'region/1'")
 register("delete_vertices_whole", lambda spark, d: the_graph(spark, d).delete([s.Vertex("nation/1")]).vertices, WITH + "SELECT id FROM vertices WHERE id != 'nation/1'")
 register("vertex_closure_on_load_whole", lambda spark, d: graph.Graph(spark.createDataFrame([("extra",)], "id string"), edge_rows(spark, d)).close_vertices().vertices, WITH + "SELECT subject_id AS id FROM edges UNION SELECT object_id FROM edges UNION SELECT 'extra'")
+#: More facts than one statement's parameters hold, many of them known already.
+MANY = [s.Edge(f"customer/{i % 100}", "tagged", f"tag/{i}") for i in range(45_000)] + [s.Edge("nation/1", "in_region", "region/1")] * 3
+register("apply_batches", lambda spark, d: the_graph(spark, d).apply(MANY).edges, WITH + "SELECT * FROM edges UNION SELECT concat('customer/', i % 100), 'tagged', concat('tag/', i) FROM range(45000) t(i) UNION SELECT 'nation/1', 'in_region', 'region/1'")
+register("insert_many_times", lambda spark, d: reduce(lambda g, i: g.insert([s.Edge("nation/new", "in_region", f"region/{i % 6}")]), range(12), the_graph(spark, d)).edges, WITH + "SELECT * FROM edges UNION SELECT 'nation/new', 'in_region', concat('region/', i) FROM range(6) t(i)")
+#: Committed files, as they are read: declarations, and facts of which one is repeated and one is known.
+COMMITTED = [
+    migrations.Migration("20260101.0001.schema.dl", Path("20260101.0001.schema.dl"), None, "", 'DefPred("in_region", "1", "node", "*", "node").\nDefPred("nation_label", "1", "node", "1", "text").'),
+    migrations.Migration("20260102.0001.facts.dl", Path("20260102.0001.facts.dl"), "", "", 'Edge("nation/new", "in_region", "region/1").\nEdge("nation/new", "nation_label", "NEW").\nEdge("nation/new", "in_region", "region/1").\nEdge("nation/1", "in_region", "region/1").'),
+]
+_COMMITTED_SQL = "SELECT 'nation/new' AS subject_id, 'in_region' AS predicate_id, 'region/1' AS object_id UNION SELECT 'nation/new', 'nation_label', 'NEW' UNION SELECT 'nation/1', 'in_region', 'region/1'"
+register("migration_apply", lambda spark, d: migrations.apply(the_graph(spark, d), COMMITTED).graph.edges, WITH + f"SELECT * FROM edges UNION {_COMMITTED_SQL}")
+register("migration_apply_vertices", lambda spark, d: migrations.apply(the_graph(spark, d), COMMITTED).graph.vertices, WITH + f"SELECT id FROM vertices UNION SELECT subject_id FROM ({_COMMITTED_SQL}) UNION SELECT object_id FROM ({_COMMITTED_SQL})")
+
+
+def _ledger(spark, sf_dir):
+    """Names that are recorded twice keep their first time."""
+    first = migrations.apply(the_graph(spark, sf_dir), COMMITTED[:1], now=datetime(2026, 1, 1, tzinfo=UTC))
+    then = migrations.apply(first.graph, COMMITTED, first.ledger, now=datetime(2026, 1, 2, tzinfo=UTC))
+    return then.ledger.select("migration_file_name", F.dayofmonth("applied_at").alias("day"))
+
+
+register("migration_ledger", _ledger, "SELECT * FROM (VALUES ('20260101.0001.schema.dl', CAST(1 AS INTEGER)), ('20260102.0001.facts.dl', CAST(2 AS INTEGER))) t(migration_file_name, day)")
+register("empty_graph_insert", lambda spark, d: graph.Graph.empty(spark).insert_rows(edges=edge_rows(spark, d)).edges, WITH + "SELECT * FROM edges")
 register("what_if_overlay", lambda spark, d: conjunction.run_query(the_graph(spark, d).overlay([s.Edge("nation/new", "in_region", "region/0")]).catalog(SCHEMAS), text.parse_query('in_region(n, "region/0")')), "SELECT concat('nation/', n_nationkey) AS n FROM nation WHERE n_regionkey = 0 UNION SELECT 'nation/new'")
 
 # External predicates

@@ -24,7 +24,7 @@ from loomlog.sources import schema as schemas
 from loomlog.sources import text
 
 #: Fixed values of the workspace: names, metadata lines, and what a fresh working file says.
-FOLDER, CURRENT, LEDGER = "migrations", "current.dl", "_datalog_applied_migrations"
+FOLDER, CURRENT, LEDGER = "migrations", "current.dl", "_applied_migrations"
 PREVIOUS, DIGEST = "% migration.previous:", "% migration.sha256:"
 FRESH = "% Current mutable ontology working area.\n"
 FILE_NAME = re.compile(r"(\d{8})\.(\d{4})\.[a-z0-9-]+\.dl")

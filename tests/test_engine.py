@@ -93,6 +93,34 @@ def test_batches_keep_to_the_parameter_limit():
     assert [len(b) for b in graph.batches(edges)] == [20_000, 1]
 
 
+def test_many_batches_and_insertions_meet_the_old_rows_once(spark, likes, monkeypatch):
+    monkeypatch.setattr(graph, "batches", lambda facts: ([f] for f in facts))
+    facts = [s.Edge("a", "p", str(i % 40)) for i in range(50)] + [s.Vertex("vertex/bob")]
+    after = likes.apply(facts)
+    assert after.edges.count() == 41 and after.vertices.count() == likes.vertices.count()
+    chained = likes
+    for i in range(12):
+        chained = chained.insert([s.Edge("a", "p", str(i % 5))])
+    assert chained.edges.count() == 6
+    for made in (after, chained):
+        plan = made.edges._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_values_of_different_types(spark):
+    catalog = Catalog(spark)
+    catalog.table("t", spark.createDataFrame([(1, "1", 0.5), (2, "x", 1.0), (None, None, None)], "k long, s string, d double"))
+    assert rows(ask(catalog, 't("1", s, _)')) == [("1",)]
+    assert rows(ask(catalog, 't("x", s, _)')) == rows(ask(catalog, 't(k, _, _), k < "x"')) == []
+    assert rows(ask(catalog, "t(k, k, _)")) == [(1,)]
+    assert rows(ask(catalog, "t(k, _, _), t(_, k, _)")) == [(1,)]
+    assert {tuple(r) for r in ask(catalog, "t(k, _, _), not t(_, k, _)").collect()} == {(2,), (None,)}
+    assert rows(ask(catalog, "t(k, s, _), k = s")) == [(1, "1")]
+    assert rows(ask(catalog, "t(k, s, _), k != s")) == [(2, "x")]
+    assert rows(ask(catalog, "t(k, s, _), k <= s")) == [(1, "1")]
+    assert rows(ask(catalog, 't(k, _, _), k != "x"')) == [(1,), (2,)]
+
+
 def test_save_and_load(spark, likes, tmp_path):
     path = f"file://{tmp_path}/graph"
     likes.save(path)
