@@ -7,12 +7,14 @@ sets of similarity t or more share a shingle among the first
 count sketch of all documents (fixed size; it only orders, so its collisions
 cost work and never a link), and the place of the first common shingle bounds
 what can be common. Pairs that pass must also share a prefix shingle under
-each of the hash orders before their sets are compared exactly.
+each of the hash orders: prefixes meet first, and only the texts of pairs that
+pass every order move and are compared exactly.
 
 Groups of copies never become all their pairs. In the sorted lists of a
 shingle, neighbours are compared first, and every class with the list's most
-central one, and joined to components; then only pairs whose
-classes lie in different components come out of the lists. Every pair of
+central one, and joined to components; a class speaks up in LISTS of its lists,
+those that a hash order puts first, which copies agree on. Then only pairs whose
+classes lie in different components come out of all the lists. Every pair of
 similarity t or more is thus compared or already connected, so components
 are exact, and the links returned suffice to make them.
 """
@@ -35,8 +37,11 @@ from loomlog.llm.sketch import SKETCH_BITS, Tally, cells, levels
 WORDS, PERCENT = 5, 80
 #: Seeds of the hash orders that follow the first.
 ORDERS = (0x51ED270B, 0x2545F491)
-#: Neighbours of a class, by most prefix shingles shared, that the first round compares, and shingles they must share (a fifth of a short prefix does).
-NEIGHBOURS, SHARED = 3, 4
+#: Lists of a class in which the first round looks for neighbours, how many of these it compares, and lists they must share (a fifth of a short prefix does).
+#: The second round covers all lists and every pair that is not connected yet, so these bound the first round's rows and never a result.
+LISTS, NEIGHBOURS, SHARED = 12, 3, 3
+#: Classes in candidate pairs, at most, that are broadcast (two longs each) to pick their texts where they are scanned.
+BROADCAST_CLASSES = 500_000
 #: Parts that the rows of one class are spread over when they meet its component.
 SALT = 8
 
@@ -136,15 +141,22 @@ def whole_lists(columns: int):
     """Batches of rows sorted by their first column, cut so that no list of equal first values is split."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        kept = [np.zeros(0, np.int64)] * columns
+        kept: list[list[np.ndarray]] = []  # parts of the last list, which may go on
         for batch in batches:
-            rows = [np.concatenate([k, batch.column(i).to_numpy().astype(np.int64)]) for i, k in enumerate(kept)]
-            last = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0  # the last list may go on
-            kept = [x[last:] for x in rows]
-            if last:
-                yield [x[:last] for x in rows]
-        if len(kept[0]):
-            yield kept
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy().astype(np.int64) for i in range(columns)]
+            goes_on = bool(kept) and kept[0][0][0] == rows[0][0]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if goes_on and not last:
+                kept.append(rows)
+                continue
+            done = [*kept, [x[:last] for x in rows]] if last else kept
+            if done:
+                yield [np.concatenate(x) for x in zip(*done, strict=True)]
+            kept = [[x[last:] for x in rows]]
+        if kept:
+            yield [np.concatenate(x) for x in zip(*kept, strict=True)]
 
     return cut
 
@@ -183,6 +195,27 @@ def _neighbours(percent: int):
     return run
 
 
+def _marked(words: int, percent: int):
+    """Rows (cls, doc, text) whose text is of the class, with its prefixes under the hash orders, as 32-bit integers; other rows of the same id go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cls", "doc", "text", *(f"order{i}" for i in range(len(ORDERS)))]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                own, marks = np.zeros(part.num_rows, bool), [[] for _ in ORDERS]
+                for i, (cls, text) in enumerate(zip(part.column(0).to_pylist(), part.column(2), strict=True)):
+                    tokens = shingles(text.as_py(), words)
+                    if len(tokens) and fingerprint(tokens) == cls:
+                        own[i] = True
+                        for mark, seed in zip(marks, ORDERS, strict=True):
+                            mark.append((order_prefix(tokens, seed, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                columns = [x.filter(pa.array(own)) for x in part.columns]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(mark, pa.list_(pa.int32())) for mark in marks)], names)
+
+    return run
+
+
 def _verify(words: int, percent: int):
     """Keeps the pairs that pass the hash orders and the exact comparison."""
 
@@ -228,8 +261,19 @@ class JaccardJoin:
     def check(self, pairs: DataFrame, name: str) -> DataFrame:
         """The links among candidate pairs of classes, as pairs of the classes' least documents."""
         pairs = c.stored(pairs, f"{self.folder}/{name}-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", "doc"), "cls")
-        texts = c.stored(self.docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("cls", F.col("doc_id").alias("doc"), "text"), f"{self.folder}/{name}-texts")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", F.col("doc").alias("doc_id")), "cls")
+        wanted = c.stored(wanted, f"{self.folder}/{name}-wanted")
+        if wanted.count() <= BROADCAST_CLASSES:  # else texts are shuffled to meet their ids
+            wanted = F.broadcast(wanted)
+        texts = self.docs.join(wanted, "doc_id").select("cls", F.col("doc_id").alias("doc"), "text")
+        orders = [f"order{i}" for i in range(len(ORDERS))]
+        texts = texts.mapInArrow(_marked(self.words, self.percent), "cls long, doc long, text string, " + ", ".join(f"{x} array<int>" for x in orders))
+        texts = c.stored(texts.dropDuplicates(["cls"]), f"{self.folder}/{name}-texts")
+        marks = [texts.select(F.col("cls").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in orders)) for side in "ab"]
+        passed = pairs.join(marks[0], "a").join(marks[1], "b")
+        for x in orders:
+            passed = passed.where(F.arrays_overlap(f"{x}_a", f"{x}_b"))
+        pairs = c.stored(passed.select("a", "b"), f"{self.folder}/{name}-passed")
         left = texts.select(F.col("cls").alias("a"), F.col("doc").alias("doc_a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("cls").alias("b"), F.col("doc").alias("doc_b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "doc_a", "doc_b", "text_a", "text_b")
@@ -242,16 +286,17 @@ class JaccardJoin:
         lists = postings.repartition(n, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(_lists, "token long, n long, cls long, pos long")
         # a class most of whose prefix others share is the middle of its group: copies of it differ from each other more than from it
         length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
-        ranked = lists.withColumn("central", (1_000_000 * F.count(F.lit(1)).over(Window.partitionBy("cls")) / length).cast("long"))
+        own = Window.partitionBy("cls")
+        ranked = lists.withColumn("central", (1_000_000 * F.count(F.lit(1)).over(own) / length).cast("long")).withColumn("turn", F.row_number().over(own.orderBy(F.xxhash64("token"), "token")))
         ranked = c.stored(ranked, f"{self.folder}/lists")
-        near = ranked.select("token", "n", "cls", "central").repartition(n, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(_neighbours(self.percent), "a long, b long, lists long, n long")
+        near = ranked.where(F.col("turn") <= LISTS).select("token", "n", "cls", "central").repartition(n, "token").sortWithinPartitions("token", "n", "cls").mapInArrow(_neighbours(self.percent), "a long, b long, lists long, n long")
         near = near.groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.first("n").alias("n"))
         near = near.where((F.col("lists") >= SHARED) | (5 * F.col("lists") >= F.col("n") / 5)).withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("lists"), "a"))).where(F.col("place") <= NEIGHBOURS)
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         first = self.check(near.select("a", "b"), "near")
         labels = components(first)
         label_of = self.classes.select("cls", F.col("doc").alias("node")).join(labels, "node").join(self.classes.select(F.col("doc").alias("component"), F.col("cls").alias("label")), "component").select("cls", "label")
-        rows = ranked.drop("central").join(label_of, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        rows = ranked.drop("central", "turn").join(label_of, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         rows = c.stored(rows, f"{self.folder}/labelled")
         mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
         rows = rows.join(mixed, "token")
