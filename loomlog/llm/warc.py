@@ -53,19 +53,20 @@ def plan(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     return joined.select("page_id", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'record:{page_id}')}>"
+def record_id(page_id: int | None, digest: str, again: int = 0) -> str:
+    """The id of a page's record of a payload; again: how many such records come before it."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'record:{page_id}:{digest}:{again}')}>"
 
 
-def record(page_id: int | None, url: str | None, body: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, body: bytes, digest: str, kind: str, refers_to: int | None, again: int = 0) -> bytes:
     """One record with its HTTP block, as a gzip member without a time stamp."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n" + b"Content-Length: %d\r\n\r\n" % len(body)
     block = http + body if kind == "response" else http
     sha1 = b32encode(bytes.fromhex(digest)).decode()
     target = "".join(x for x in url or "" if x >= " ")
-    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{b32encode(hashlib.sha1(block).digest()).decode()}", f"X-Page-Id: {'' if page_id is None else page_id}"]
+    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, again)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{b32encode(hashlib.sha1(block).digest()).decode()}", f"X-Page-Id: {'' if page_id is None else page_id}"]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Profile: {PROFILE}"]
     head.append(f"Content-Length: {len(block)}")
     return gzip.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
@@ -74,8 +75,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Writes one record per row of pages below path and returns the manifest: file, records, bytes.
 
     A null payload is empty, a null url an empty target; a null id sorts first
-    and is written with an empty id. Rows that share an id are all written;
-    where the shared id is a payload's largest, all its rows respond. A payload
+    and is written with an empty id. Rows that share an id are all written,
+    with record ids of their own; where the shared id is a payload's largest, all its rows respond. A payload
     is revisited only where two known ids have it. The
     payloads are shuffled once, into their ranges, together with the small rows that say how to write them.
     """
@@ -109,15 +110,18 @@ def _writer(path: str, roll_bytes: int):
 
         waiting = rows()
         row = next(waiting, None)
+        last, again = None, 0  # rows of one id and payload follow each other
         while row is not None:
             count = 0
 
             def chunks() -> Iterator[bytes]:
-                nonlocal row, count
+                nonlocal row, count, last, again
                 size = 0
                 while row is not None and size < roll_bytes:
                     body = row["body"]
-                    member = record(row["page_id"], row["url"], body, hashlib.sha1(body).hexdigest(), row["record_type"], row["refers_to"])
+                    key = row["page_id"], hashlib.sha1(body).hexdigest()
+                    last, again = key, again + 1 if key == last else 0
+                    member = record(row["page_id"], row["url"], body, key[1], row["record_type"], row["refers_to"], again)
                     size += len(member)
                     count += 1
                     yield member
