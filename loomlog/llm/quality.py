@@ -104,14 +104,15 @@ class Space:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", references: int = REFERENCES) -> Space:
     """The space of a bounded sample: of each label the references / 2 rows that come first by hash of their id.
 
-    Rows with a null id, label or text row are not learned from; of labels that
-    repeat an id all count. Only the sample's texts come to the driver: ids are
-    chosen first, then met with their texts by a broadcast of at most `references` ids.
+    Rows with a null id or label, and labels without a document, are not learned
+    from. A label that repeats counts once, and of rows that share an id the
+    least text. Only the sample's texts come to the driver, at most `references`:
+    ids are chosen first, then met with their texts by a broadcast of as many ids.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("label = 0").orderBy(*order).limit(references // 2).unionAll(known.where("label = 1").orderBy(*order).limit(references // 2))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.text or ""))
     return Space([r.text for r in rows], [r.label for r in rows])
 

@@ -50,7 +50,9 @@ def test_decontamination_equals_every_window(spark, docs, docs_rows, items, bloc
     for row in found:
         want = hits(texts[row.doc_id], items)
         assert (row.n_words, row.n_hit, row.items) == want and row.n_items == len(want[2]) and row.contaminated == (want[1] > 0)
-        assert len(words(" ".join(texts[row.doc_id][a:b] for a, b in row.char_spans) if row.char_spans else "")) >= 0
+        covered = {i for a, b in row.char_spans or () for i in range(a, b)}
+        low = "".join(x.lower() if "A" <= x <= "Z" else x for x in texts[row.doc_id] or "")
+        assert sum(m.start() in covered for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) == row.n_hit
     assert any(r.contaminated for r in found) and not all(r.contaminated for r in found)
 
 
@@ -204,3 +206,12 @@ def test_held_out_rows_are_not_learned_from(spark, sf):
 def test_digest_of_items(spark, sf):
     for row in queries.op4_decontaminate(spark, sf).where("n_items = 0").limit(1).collect():
         assert row.items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.range(300).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text").unionAll(spark.createDataFrame([(5, None), (None, "a")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (5, 1), (None, 1), (9, 0)], "doc_id long, quality int")
+    space = quality.fit(docs, labels, references=4)
+    assert sorted(space.labels.tolist()) == [0, 1, 1]
+    again = quality.fit(docs.repartition(5), labels.repartition(2), references=4)
+    assert (space.vectors == again.vectors).all()
