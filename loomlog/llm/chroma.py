@@ -121,15 +121,19 @@ def align(prints: DataFrame, queries: Column, max_error: float = MAX_ERROR) -> D
     key = F.zip_with(F.slice("fingerprint", 1, n), F.slice("fingerprint", WIDTH + 1, n), lambda a, b: a.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).bitwiseOR(F.shiftleft(b.cast("long").bitwiseAND(later), 32)))
     keys = classes.select("class", "asked", F.posexplode(key).alias("place", "key"))
     asked = keys.where("asked = 1").select(F.col("class").alias("query_class"), F.col("place").alias("query_place"), "key")
-    votes = asked.join(keys.select("class", "place", "key"), "key").groupBy("query_class", "class", (F.col("query_place") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= MIN_VOTES)
+    votes = asked.join(keys.select("class", "place", "key"), "key").where("query_class != class").groupBy("query_class", "class", (F.col("query_place") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= MIN_VOTES)
     best = votes.groupBy("query_class", "class").agg(F.max(F.struct("votes", -F.abs("offset"), F.col("offset").alias("offset"))).alias("top")).select("query_class", "class", "top.votes", "top.offset")
     prints_of = classes.select("class", "fingerprint")
     both = best.join(prints_of.select(F.col("class").alias("query_class"), F.col("fingerprint").alias("a")), "query_class").join(prints_of.select("class", F.col("fingerprint").alias("b")), "class")
     overlap, bits = errors(F.col("a"), F.col("b"), F.col("offset"))
-    return both.withColumn("overlap", overlap).withColumn("bit_errors", bits).where((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_errors") <= max_error * 32 * F.col("overlap"))).select("query_class", F.col("class").alias("match_class"), "offset", "votes", "overlap", "bit_errors")
+    found = both.withColumn("overlap", overlap).withColumn("bit_errors", bits).where((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_errors") <= max_error * 32 * F.col("overlap"))).select("query_class", F.col("class").alias("match_class"), "offset", "votes", "overlap", "bit_errors")
+    # with itself a class agrees in every place, so it need not meet itself there
+    own = classes.where("asked = 1").select(F.col("class").alias("query_class"), F.col("class").alias("match_class"), F.lit(0).alias("offset"), n.cast("long").alias("votes"), F.size("fingerprint").alias("overlap"), F.lit(0).alias("bit_errors"))
+    return found.unionByName(own)
 
 
 def members(prints: DataFrame) -> DataFrame:
-    """id and class (the least id with its fingerprint) of each recording that can match."""
+    """id and class (the least id with its fingerprint) of each recording; the class is null where it cannot match."""
     rows = prints.where((F.size("fingerprint") >= MIN_OVERLAP) & F.col("id").isNotNull())
-    return rows.join(rows.groupBy("fingerprint").agg(F.min("id").alias("class")), "fingerprint").select("id", "class")
+    classes = rows.groupBy("fingerprint").agg(F.min("id").alias("class"))
+    return prints.join(classes, "fingerprint", "left").select("id", F.when(F.col("id").isNotNull(), F.col("class")).alias("class"))

@@ -60,14 +60,18 @@ def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings are the rows of embeddings; queries those whose id is divisible by 20. Every match, in two kinds of rows.
 
     link: the class `id`, which holds a query, matches the class `class_id` (itself too), and how they align.
-    member: the recording `id` is of the class `class_id`; all recordings of the classes that links name.
-    A query's matches are the members of the classes that its class is linked to.
+    member: the recording `id` is of the class `class_id`; a row for each recording, with a null class where a null or short vector cannot match.
+    A query's matches are the members of the classes that its class is linked to, itself included; its member row has their number, n_matches (0 without a class).
     """
     prints = c.stored(chroma.fingerprint_vectors(c.table(spark, sf_dir, "embeddings")), c.scratch(spark, "chroma"))
     found = c.stored(chroma.align(prints, F.col("id") % 20 == 0), c.scratch(spark, "chroma"))
     links = found.select(F.lit("link").alias("kind"), F.col("query_class").alias("id"), F.col("match_class").alias("class_id"), "offset", "votes", "overlap", "bit_errors")
-    members = chroma.members(prints).join(found.select(F.col("match_class").alias("class")).distinct(), "class")
-    return links.unionByName(members.select(F.lit("member").alias("kind"), "id", F.col("class").alias("class_id")), allowMissingColumns=True)
+    members = chroma.members(prints)
+    sizes = members.where("class IS NOT NULL").groupBy(F.col("class").alias("match_class")).agg(F.count(F.lit(1)).alias("copies"))
+    counts = found.join(sizes, "match_class").groupBy(F.col("query_class").alias("class")).agg(F.sum("copies").alias("n_matches"))
+    n_matches = F.when(F.col("id") % 20 == 0, F.coalesce("n_matches", F.lit(0)))
+    members = members.join(counts, "class", "left").select(F.lit("member").alias("kind"), "id", F.col("class").alias("class_id"), n_matches.alias("n_matches"))
+    return links.unionByName(members, allowMissingColumns=True)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,19 @@ def test_warc_round_trip(spark, pages, pages_rows):
         assert row.payload == (None if revisit else body)
 
 
+def test_warc_record_ids_are_unique(spark):
+    rows = [(1, "http://a", "x" * 1200), (1, "http://a", "x" * 1200), (1, "http://b", "y"), (None, None, "y"), (None, None, "y"), (7, "http://c", "x" * 1200), (7, "http://c", "z")]
+    path, manifest = written(spark, spark.createDataFrame(rows, PAGES).repartition(3), ranges=2)
+    heads = []
+    for r in manifest.collect():
+        with gzip.open(f"{path.removeprefix('file://')}/{r.file}") as f:
+            heads += [x for x in f.read().split(b"\r\n") if x.startswith((b"WARC-Record-ID", b"WARC-Refers-To"))]
+    ids = [x.split(b": ")[1] for x in heads if x.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == len(rows)
+    refers = [x.split(b": ")[1] for x in heads if x.startswith(b"WARC-Refers-To")]
+    assert len(refers) == 2 and set(refers) <= set(ids)
+
+
 def test_warc_files_are_deterministic_gzip_members(spark, pages):
     one, two = written(spark, pages, ranges=2), written(spark, pages.repartition(7), ranges=2)
     for name in sorted(r.file for r in one[1].collect()):
@@ -179,8 +192,12 @@ def test_chroma_of_odd_rows(spark):
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, class string")
     prints = chroma.fingerprint_vectors(table)
     assert prints.count() == len(rows)
-    assert {r["class"] for r in chroma.members(prints).collect()} == {3, 40} or chroma.members(prints).count() >= 3
-    chroma.align(prints, F.col("id") % 20 == 0).collect()
+    members = {r.id: r["class"] for r in chroma.members(prints).collect()}
+    assert chroma.members(prints).count() == len(rows)
+    assert members[3] == members[20] == 3 and members[40] == members[80] == 40
+    assert [members[i] for i in (1, 2, None, 60)] == [None] * 4
+    found = {(r.query_class, r.match_class, r.offset, r.bit_errors) for r in chroma.align(prints, F.col("id") % 20 == 0).collect()}
+    assert {(3, 3, 0, 0), (40, 40, 0, 0)} <= found and all(q in (3, 40) and m in (3, 40) for q, m, *_ in found)
     assert chroma.align(prints.limit(0), F.lit(True)).isEmpty()
 
 
