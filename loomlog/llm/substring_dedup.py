@@ -40,9 +40,9 @@ from loomlog.llm import _common as c
 
 WINDOW, PREFIX = 20, 8
 #: Bytes of text in a chunk (a longer text is a chunk of its own); each row counts ROW_BYTES more.
-CHUNK_BYTES, ROW_BYTES = 2_500_000, 100
+CHUNK_BYTES, ROW_BYTES = 1_500_000, 100
 #: Suffixes that a group is planned for and reads at once, and suffixes beyond which a prefix is lengthened.
-GROUP_WINDOWS, TREE_WINDOWS = 150_000, 30_000
+GROUP_WINDOWS, TREE_WINDOWS = 60_000, 30_000
 #: Bytes of text whose prefixes are counted in one group.
 COUNTED_BYTES = 1 << 27
 #: Bytes of a word's code.
@@ -212,6 +212,7 @@ def _ask(window: int, prefix: int, buckets: int):
                 rows = [(bucket, chunk, low_bytes(found.trees[a:b], 5).tobytes(), sizes[a:b].tobytes()) for bucket, a, b in pieces(bucket_of(found.trees, buckets))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "names", "sizes"])
+                del found, rows
                 c.release()
 
     return run
