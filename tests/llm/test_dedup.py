@@ -58,6 +58,15 @@ def test_near_copies_equal_all_pairs(spark, seed):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == linked(rows)
 
 
+@pytest.mark.parametrize("bounds", [{"LISTS": 0}, {"LISTS": 1, "SHARED": 1}, {"NEIGHBOURS": 0}, {"NEIGHBOURS": 1}, {"SHARED": 10_000}])
+def test_bounds_of_the_first_round_lose_no_link(spark, monkeypatch, bounds):
+    """However little the first round finds, the second finds the rest."""
+    rows = near_group(3) + [(1000 + i, t) for i, t in near_group(4, 25)]
+    for name, value in bounds.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == linked(rows)
+
+
 def test_join_of_odd_rows(spark, odd, empty):
     table, rows = odd
     got = joined(table)
