@@ -16,7 +16,7 @@ def test_cycle_links_every_supplier(spark):
         of[r["s_nationkey"]].append(r["s_suppkey"])
     want = sorted((a, b) for group in of.values() if len(group) > 1 for a in group for b in group)
     assert max(a for a, _ in want) >= 40
-    assert rows(q.QUERIES["recursive_cycle_whole"](spark, LARGER)) == want
+    assert rows(q.QUERIES["recursive_cycle"](spark, LARGER)) == want
 
 
 def test_tree_closures_reach_orders(spark):
@@ -31,8 +31,8 @@ def test_tree_closures_reach_orders(spark):
             at = up[at]
             want.add((at, node))
     assert any(b.startswith("order/") and a.startswith("region/") for a, b in want)
-    assert rows(q.QUERIES["closure_reachable_all_whole"](spark, LARGER)) == sorted(want)
-    assert rows(q.QUERIES["recursive_path_count_sql_whole"](spark, LARGER)) == [(sum(a == "region/1" for a, _ in want),)]
+    assert rows(q.QUERIES["closure_reachable_all"](spark, LARGER)) == sorted(want)
+    assert rows(q.QUERIES["recursive_path_count_sql"](spark, LARGER)) == [(sum(a == "region/1" for a, _ in want),)]
 
 
 def test_compounds_of_every_line(spark):
@@ -40,14 +40,14 @@ def test_compounds_of_every_line(spark):
     facts = {(f"part/{r['l_partkey']}", f"a,b:{r['l_orderkey']}", "returned" if r["l_returnflag"] == "R" else "kept") for r in lines}
     ids = {x: f"Review:by={x[1].replace(',', '%2C').replace(':', '%3A')},item={x[0]},note={x[2]}" for x in facts}
     assert len(facts) > 2 * sum(r["l_linenumber"] == 1 for r in lines)
-    assert rows(q.QUERIES["compound_identity_whole"](spark, LARGER)) == sorted((i,) for i in ids.values())
-    assert rows(q.QUERIES["compound_assertion_rows_whole"](spark, LARGER)) == sorted((i, p, v) for x, i in ids.items() for p, v in zip(("item", "by", "note"), x, strict=True))
-    assert rows(q.QUERIES["compound_roundtrip_whole"](spark, LARGER).select("item", "by")) == sorted(x[:2] for x in facts if x[2] == "returned")
+    assert rows(q.QUERIES["compound_identity"](spark, LARGER)) == sorted((i,) for i in ids.values())
+    assert rows(q.QUERIES["compound_assertion_rows"](spark, LARGER)) == sorted((i, p, v) for x, i in ids.items() for p, v in zip(("item", "by", "note"), x, strict=True))
+    assert rows(q.QUERIES["compound_roundtrip"](spark, LARGER).select("item", "by")) == sorted(x[:2] for x in facts if x[2] == "returned")
 
 
 def test_changes_show_large_predicates(spark, sf):
     placed = pq.read_table(f"{sf}/orders.parquet").num_rows
-    for name in ("insert_facts_idempotent_whole", "delete_facts_no_cascade_whole"):
+    for name in ("insert_facts_idempotent", "delete_facts_no_cascade"):
         assert q.QUERIES[name](spark, sf).where("predicate_id = 'placed_by'").count() == placed
-    for name in ("insert_vertices_idempotent_whole", "delete_vertices_whole", "vertex_closure_on_load_whole"):
+    for name in ("insert_vertices_idempotent", "delete_vertices", "vertex_closure_on_load"):
         assert q.QUERIES[name](spark, sf).where("id LIKE 'order/%'").count() == placed
