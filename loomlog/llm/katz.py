@@ -352,6 +352,12 @@ def _score(folder: str, buckets: int, model: Unigrams, d: np.ndarray, shared):
     return run
 
 
+def added_up(rows: DataFrame, places: int) -> np.ndarray:
+    """The sums of the rows' stats, place by place; one row comes to the driver."""
+    sums = rows.agg(*(F.sum(F.col("stats")[i]) for i in range(places))).first()
+    return np.array([x or 0 for x in sums], np.int64)
+
+
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -367,15 +373,15 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     buckets = max(16, size.n // DOCS_PER_BUCKET)
     folder = c.scratch(spark, "katz")
     words = c.stored(rows.mapInArrow(_chunks(f"{folder}/chunks", buckets), REQUEST).groupBy("bucket").applyInArrow(released(_count), ANSWER), f"{folder}/words")
-    stats = np.array([r.stats for r in words.where("chunk IS NULL").select("stats").collect()], np.int64).reshape(-1, CUTOFF + 3).sum(0)  # a row for each bucket
+    stats = added_up(words.where("chunk IS NULL"), CUTOFF + 3)
     model = Unigrams(int(stats[0]), int(stats[1]), stats[2:], int(size.train))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # told, so that small answers to large chunks are not coalesced into few tasks
     known = words.where("chunk IS NOT NULL").repartition(tasks, "chunk").groupBy("chunk")
     pairs = c.stored(known.applyInArrow(released(_ask_pairs(f"{folder}/chunks", buckets, model)), ANSWER).groupBy("bucket").applyInArrow(released(_count_pairs(model)), ANSWER), f"{folder}/pairs")
     c.drop_path(spark, f"{folder}/words")
-    told = pairs.where("chunk IS NULL").select("blob", "stats").collect()  # a row for each bucket, with at most 2 HOT_PARTS first words in all
-    d = discounts(np.sum([r.stats for r in told], 0, dtype=np.int64) if told else np.zeros(CUTOFF + 1, np.int64))
-    hot = [unpack(bytes(r.blob)) for r in told if r.blob]
+    told = pairs.where("chunk IS NULL")
+    d = discounts(added_up(told, CUTOFF + 1))
+    hot = [unpack(bytes(r.blob)) for r in told.where("blob IS NOT NULL").select("blob").collect()]  # at most 2 HOT_PARTS first words in all
     hashes, inverse = np.unique(np.concatenate([x["h"] for x in hot]) if hot else np.zeros(0, np.uint64), return_inverse=True)
     sums = np.zeros((len(hashes), CUTOFF + 2))
     if hot:
