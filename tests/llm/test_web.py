@@ -129,8 +129,21 @@ def test_reputation_shrinks_and_blocks(spark):
 
 
 def test_url_query_covers_every_page(spark, sf):
-    got = queries.op10_url_filter(spark, sf)
-    assert got.count() == c.table(spark, sf, "pages").count()
+    got = sorted((r.page_id, r.host, r.path, r.rule) for r in queries.op10_url_filter(spark, sf).collect())
+    pages = [(r.page_id, *split_brute(r.url)) for r in c.table(spark, sf, "pages").select("page_id", "url").collect()]
+    assert [x[:3] for x in got] == sorted(pages)
+    assert all(rule == rule_brute(host, path)[0] for _, host, path, rule in got)
+
+
+def test_urls_of_odd_rows(spark):
+    """Null ids, null and blank urls, repeated rows and clashing columns: a row for each, and one verdict for each host without a rule."""
+    urls = [(1, "http://many.bad.dev/a"), (1, "http://many.bad.dev/a"), (None, "http://many.bad.dev/b"), (2, None), (2, ""), (None, None), (3, "http://"), (4, "no scheme"), (5, "http://good.dev/")]
+    pages = spark.createDataFrame([(i, u, "x", 0.5, 1) for i, u in urls], "page_id long, url string, host string, mean double, salt int")
+    outcomes = spark.createDataFrame([("many.bad.dev", 0)] * 50 + [("good.dev", 1)] * 50 + [(None, 0), ("", None)], "host string, good int")
+    got = url_filter.judge(pages, outcomes).collect()
+    shape = lambda found: sorted(found, key=repr)
+    want = [(i, *split_brute(u), None, "block" if "bad" in (u or "") else "allow") for i, u in urls]
+    assert shape((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == shape(want)
 
 
 # Chroma
