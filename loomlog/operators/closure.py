@@ -142,6 +142,60 @@ def _reach(root: str):
     return run
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for each node of a link (a, b) without nulls; the component is the least node that links lead to.
+
+    Every node hooks to its least neighbour, chains of hooks are shortened, and
+    links between different trees go to the next level, named by their roots.
+    Two levels at least halve the nodes. The links are read twice and not
+    stored; what is stored has a row for each node, or link between trees.
+    """
+    return _components(links, storage.scratch(links.sparkSession, "components"))
+
+
+def _components(links: DataFrame, folder: str) -> DataFrame:
+    ends = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
+    hooks, number = storage.stored(ends.groupBy("node").agg(F.min("root").alias("root")), f"{folder}/0"), 0
+    while True:
+        number += 1
+        further = hooks.select(F.col("node").alias("root"), F.col("root").alias("__after"))
+        longer = hooks.join(further, "root", "left").select("node", F.coalesce("__after", "root").alias("root"), (F.col("__after") < F.col("root")).alias("moved"))
+        longer = storage.stored(longer, f"{folder}/{number}")
+        hooks = longer.select("node", "root")
+        if longer.where("moved").isEmpty():
+            break
+    of = lambda end: hooks.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    rest = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b")
+    rest = storage.stored(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/rest")
+    nodes = hooks.unionAll(hooks.select(F.col("root").alias("node"), "root"))
+    if rest.isEmpty():
+        found = nodes.withColumnRenamed("root", "component")
+    else:
+        above = _components(rest, f"{folder}/above").withColumnRenamed("node", "root")
+        found = nodes.join(above, "root", "left").select("node", F.coalesce("component", "root").alias("component")).unionAll(above.select(F.col("root").alias("node"), "component"))
+    return storage.stored(found.distinct(), f"{folder}/out")
+
+
+def linked(links: DataFrame) -> DataFrame:
+    """(a, b) for all ends that links (a, b), each taken both ways, lead from a to b; a node without a link has no row.
+
+    The pairs come from a join of the components with themselves: none is
+    stored or compared. A null end joins nothing, as in a rule: it leads
+    to its neighbour's component, and nothing leads through it.
+    """
+    spark = links.sparkSession
+    known = components(links.where("a IS NOT NULL AND b IS NOT NULL"))
+    other = known.select(F.col("node").alias("b"), "component")
+    pairs = known.select(F.col("node").alias("a"), "component").repartition(spark.sparkContext.defaultParallelism, "a").join(other, "component").select("a", "b")
+    loose = links.where("a IS NULL OR b IS NULL").select(F.coalesce("a", "b").alias("node")).distinct()
+    loose = storage.stored(loose, f"{storage.scratch(spark, 'components')}/loose")
+    if loose.isEmpty():
+        return pairs
+    reached = loose.join(known, "node").select("component").distinct().join(known, "component").select("node").unionAll(loose).distinct()
+    none = F.lit(None).cast(pairs.dtypes[0][1])
+    return pairs.unionAll(reached.select("node", none)).unionAll(reached.where("node IS NOT NULL").select(none, "node")).unionAll(spark.range(1).select(none, none)).distinct()
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

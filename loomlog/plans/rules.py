@@ -4,12 +4,14 @@ Predicates are grouped by mutual recursion and evaluated in dependency order.
 A recursive group runs semi-naively: each round joins the rows that are new
 with all others, once for each recursive atom, and keeps what no earlier round
 has. Rows of each round are stored, so plans stay short and a lost executor
-costs one task; a round's new rows are only as large as what it found.
+costs one task; a round's new rows are only as large as what it found. A
+predicate that only closes symmetric pairs transitively needs no rounds over
+pairs: its rows are those of components, joined with themselves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from loomlog import storage
 from loomlog.errors import LoomError
 from loomlog.functions import values
+from loomlog.operators import closure
 from loomlog.plans import conjunction
 from loomlog.plans import syntax as s
 from loomlog.sources.catalog import Catalog, Relation
@@ -135,6 +138,46 @@ def folds(rule: s.Rule) -> bool:
     return any(isinstance(t, s.Variable) and t.name.endswith(")") for t in rule.head.terms)
 
 
+def swapped(rule: s.Rule, other: s.Rule) -> bool:
+    """Whether the rules have one body, up to the names of variables, and heads of two variables in opposite order."""
+    if not (len(rule.body) == len(other.body) and rule.head.arity == other.head.arity == 2 and all(isinstance(t, s.Variable) for r in (rule, other) for t in r.head.terms)):
+        return False
+
+    def named(r: s.Rule, terms: tuple) -> str:
+        """The rule's text with its variables numbered as they appear."""
+        number: dict[str, int] = {}
+
+        def of(x):
+            if isinstance(x, s.Variable):
+                return s.Variable(f"v{number.setdefault(x.name, len(number))}")
+            if isinstance(x, tuple):
+                return tuple(map(of, x))
+            return replace(x, **{f.name: of(getattr(x, f.name)) for f in fields(x) if f.name != "span"}) if is_dataclass(x) else x
+
+        return repr((of(r.body), of(terms)))
+
+    return named(rule, rule.head.terms) == named(other, other.head.terms[::-1])
+
+
+def copies(rule: s.Rule) -> Key | None:
+    """The predicate that a rule `p(x, y) :- e(x, y).` copies."""
+    if len(rule.body) != 1 or not isinstance(rule.body[0], s.Atom):
+        return None
+    terms = rule.head.terms
+    plain = rule.head.arity == 2 and all(isinstance(t, s.Variable) for t in terms) and terms[0] != terms[1]
+    return key_of(rule.body[0]) if plain and rule.body[0].terms == terms else None
+
+
+def closes(rule: s.Rule, key: Key, base: Key | None) -> bool:
+    """Whether a rule is `p(x, z) :- q(x, y), r(y, z).` in either order, with p for one of q and r at least and the base for the other."""
+    if not (len(rule.body) == 2 and all(isinstance(x, s.Atom) and x.arity == 2 and all(isinstance(t, s.Variable) for t in x.terms) for x in (rule.head, *rule.body))):
+        return False
+    if not {key_of(x) for x in rule.body} <= {key, base} or key not in map(key_of, rule.body):
+        return False
+    x, z = rule.head.terms
+    return x != z and any(one.terms[0] == x and two.terms[1] == z and one.terms[1] == two.terms[0] not in (x, z) for one, two in (rule.body, rule.body[::-1]))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -157,8 +200,11 @@ class Program:
         self.rules = program.of(s.Rule)
         self.rounds: dict[Key, int] = {}
         self.kept: set[Key] = set()
+        #: Rows of derived predicates before repeated ones are removed, for readers to whom these make no difference.
+        self.repeated: dict[Key, DataFrame] = {}
         self.groups = groups(self.rules)
         self._facts()
+        self.given = {k for k in dependencies(self.rules) if k in self.catalog.relations}
         for group in self.groups:
             if group.recursive and any(folds(r) for r in self.rules if key_of(r.head) in group.predicates):
                 raise LoomError("rules.unstratified", f"{group.predicates} aggregate over themselves")
@@ -211,7 +257,10 @@ class Program:
                 todo += reads[key]
         for group in self.groups:
             if need & set(group.predicates):
-                self._fixpoint(group) if group.recursive else self._once(group.predicates[0])
+                if not group.recursive:
+                    self._once(group.predicates[0])
+                elif not self._symmetric(group):
+                    self._fixpoint(group)
         return self
 
     def _known(self, key: Key) -> list[DataFrame]:
@@ -221,7 +270,41 @@ class Program:
 
     def _once(self, key: Key) -> None:
         parts = [head_rows(self.catalog, r) for r in self.rules if key_of(r.head) == key]
-        self._define(key, union(same_types(self._known(key) + parts)))
+        parts = same_types(self._known(key) + parts)
+        self._define(key, union(parts))
+        self.repeated[key] = _all(parts)
+
+    def _halves(self, key: Key) -> list[s.Rule] | None:
+        """One rule of each pair that define a symmetric predicate by swapping their heads' ends; none if it is not defined so."""
+        left, found = [r for r in self.rules if key_of(r.head) == key], []
+        if key in self.given or any(folds(r) for r in left):
+            return None
+        while left:
+            rule = left.pop(0)
+            other = next((r for r in left if swapped(rule, r)), None)
+            if other is None:
+                return None
+            left.remove(other)
+            found.append(rule)
+        return found or None
+
+    def _symmetric(self, group: Group) -> bool:
+        """Defines a predicate that is nothing but the transitive closure of a symmetric one; False if it is something else."""
+        key = group.predicates[0]
+        rules = [r for r in self.rules if key_of(r.head) == key]
+        exits = [r for r in rules if all(key_of(x) != key for x in r.body if isinstance(x, s.Atom))]
+        base = copies(exits[0]) if len(exits) == 1 else None
+        if len(group.predicates) > 1 or key in self.given or base not in self.repeated or not all(closes(r, key, base) for r in rules if r not in exits):
+            return False
+        halves = self._halves(base)
+        if halves is None:
+            return False
+        parts = [head_rows(self.catalog, r, {i: self.repeated[key_of(x)] for i, x in enumerate(r.body) if isinstance(x, s.Atom) and key_of(x) in self.repeated}) for r in halves]
+        if len({k for p in parts for _, k in p.dtypes}) > 1:
+            return False
+        self._define(key, closure.linked(_all(parts).toDF("a", "b")).toDF("c0", "c1"))
+        self.rounds[key] = 0
+        return True
 
     def _store_inputs(self, keys: set[Key], folder: str) -> None:
         """Writes the derived predicates that a fixpoint reads, so that no round computes them again."""

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomlog import storage
 from loomlog.errors import LoomError
 from loomlog.functions import values
 from loomlog.operators import closure, graph, retrieval
@@ -249,6 +250,56 @@ def test_fixpoints_equal_naive_evaluation(spark, source):
         assert rows(engine.rows(name, 2)) == sorted(row for n, row in want if n == name)
 
 
+SYMMETRIC = "near(x, y) :- e(x, y).\nnear(u, v) :- e(v, u).\nlinked(x, y) :- near(x, y).\n"
+
+
+@pytest.mark.parametrize("last", ["linked(x, z) :- linked(x, y), linked(y, z).", "linked(x, z) :- near(y, z), linked(x, y).", "linked(x, z) :- linked(x, y), linked(y, z).\nlinked(x, z) :- near(x, y), linked(y, z).", "linked(x, z) :- linked(x, y), e(y, z).", "linked(x, z) :- linked(x, y), linked(y, z).\nnear(x, y) :- e(x, w), e(w, y).", "linked(x, z) :- linked(x, y), linked(z, y)."])
+def test_closures_of_symmetric_pairs_equal_naive_evaluation(spark, last):
+    chance, program = random.Random(last), text.parse_program(SYMMETRIC + last)
+    pairs = {(chance.randrange(16), chance.randrange(16)) for _ in range(11)} | {(20, 20), (30, 31)}
+    catalog = Catalog(spark)
+    catalog.table("e", spark.createDataFrame(sorted(pairs), "a long, b long"))
+    assert rows(rules.Program(catalog, program).rows("linked", 2)) == sorted(row for n, row in answer(program, pairs) if n == "linked")
+
+
+def test_closure_of_cliques_stores_rows_of_nodes(spark, monkeypatch):
+    kept, stored = [], storage.stored
+
+    def counted(df, path):
+        kept.append((out := stored(df, path)).count())
+        return out
+
+    monkeypatch.setattr(storage, "stored", counted)
+    catalog = Catalog(spark)
+    catalog.table("s", spark.createDataFrame([(i, i % 2) for i in range(80)], "id long, n long"))
+    source = "e(x, y) :- s(x, n), s(y, n), x < y.\n" + SYMMETRIC + "linked(x, z) :- linked(x, y), linked(y, z)."
+    assert rows(rules.Program(catalog, text.parse_program(source)).rows("linked", 2)) == [(a, b) for a in range(80) for b in range(80) if a % 2 == b % 2]
+    assert max(kept) <= 80
+
+
+def test_closure_of_symmetric_pairs_with_facts_and_nulls(spark):
+    source = SYMMETRIC + "linked(x, z) :- linked(x, y), linked(y, z)."
+    catalog = Catalog(spark)
+    catalog.table("e", spark.createDataFrame([(1, 2)], "a long, b long"))
+    assert rows(rules.Program(catalog, text.parse_program(source + "\nnear(2, 3).")).rows("linked", 2)) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3)]
+    catalog.table("e", spark.createDataFrame([(1, 2), (None, 2), (5, None), (7, 8)], "a long, b long"))
+    got = {tuple(r) for r in rules.Program(catalog, text.parse_program(source)).rows("linked", 2).collect()}
+    assert got == {(a, b) for a in (1, 2) for b in (1, 2)} | {(a, b) for a in (7, 8) for b in (7, 8)} | {p for a in (1, 2, 5, None) for p in ((a, None), (None, a))}
+    assert rules.Program(catalog, text.parse_program(source)).rows("linked", 2).count() == len(got)
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "trees"])
+def test_components_of_hard_shapes(spark, kind):
+    chance = random.Random(kind)
+    name = chance.sample(range(1000), 200)
+    links = {"path": [(name[i], name[i + 1]) for i in range(150)], "star": [(1000, i) for i in name], "trees": [(name[i], name[chance.randrange(i // 20 * 20, i)]) for i in range(200) if i % 20]}[kind]
+    least = {x: x for p in links for x in p}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert rows(closure.components(spark.createDataFrame(links, "a long, b long"))) == sorted(least.items())
+
+
 def test_strata_groups_and_errors(spark):
     program = text.parse_program("a(x) :- e(x, _).\nb(x) :- e(_, x), not a(x).\nc(x) :- b(x).\nc(x) :- c(y), e(y, x).")
     found = rules.groups(program.of(s.Rule))
