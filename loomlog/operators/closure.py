@@ -204,11 +204,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def path_count_sql(edges: DataFrame, root: str, predicate: str, max_depth: int = 100) -> DataFrame:
-    """The same count by Spark's recursive SQL: one statement, paths as rows; for trees, where paths are nodes."""
+    """The same count by Spark's recursive SQL: one statement, paths as rows; for trees, where paths are nodes.
+
+    LIMIT ALL lifts Spark's limit on the rows of a recursion (spark.sql.cteRecursionRowLimit, a million); a depth beyond max_depth stays an error.
+    """
     _check(root, predicate)
     steps = _steps(edges, predicate)
     return edges.sparkSession.sql(
-        "WITH RECURSIVE walk(node, depth) MAX RECURSION LEVEL " + str(int(max_depth)) + " AS (SELECT object_id, 1 FROM {steps} WHERE subject_id = :root UNION ALL SELECT s.object_id, w.depth + 1 FROM walk w JOIN {steps} s ON s.subject_id = w.node) SELECT count(*) AS count FROM walk",
+        "WITH RECURSIVE walk(node, depth) MAX RECURSION LEVEL " + str(int(max_depth)) + " AS (SELECT object_id, 1 FROM {steps} WHERE subject_id = :root UNION ALL SELECT s.object_id, w.depth + 1 FROM walk w JOIN {steps} s ON s.subject_id = w.node) SELECT count(*) AS count FROM (SELECT node FROM walk LIMIT ALL)",
         args={"root": root},
         steps=steps,
     )

@@ -208,6 +208,18 @@ def test_diamond_cycle_and_empty_root(spark, small):
         closure.path_count(cycle, "a", "p", max_depth=20, small=small).collect()
 
 
+def test_recursive_sql_counts_more_paths_than_the_row_limit(spark):
+    made = edges(spark, [(f"{i}", f"{2 * i + j}") for i in range(1, 64) for j in (0, 1)])
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "50")
+    try:
+        assert closure.path_count_sql(made, "1", "p").first()[0] == 126
+        with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT_EXCEEDED"):
+            closure.path_count_sql(edges(spark, [("a", "b"), ("b", "a")]), "a", "p", max_depth=5).collect()
+    finally:
+        spark.conf.unset(limit)
+
+
 # Rules
 
 
