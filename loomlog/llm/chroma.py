@@ -13,9 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm import _common as c
+
 PITCHES, WIDTH = 12, 8
 #: Filters by rule: which areas they compare, first pitch, pitches, frames.
 FILTERS = tuple((i % 5, (i * 5) % 7, 4 + 2 * (i % 2), (4, 6, 8)[i % 3]) for i in range(16))
@@ -25,6 +29,9 @@ STRONG, FLOOR = 0.2, 0.05
 MIN_VOTES, MIN_OVERLAP, MAX_ERROR = 1, 16, 0.08
 #: A vote needs an equal integer, and equal signs of the first SIGNS filters WIDTH places later: without these, chance meetings outnumber matches.
 SIGNS = 8
+#: Query classes in a block (some 0.8 kB each in a worker), classes that a worker holds while it reads the blocks, and equal keys that it counts at a time. None of them leaves any out.
+BLOCK, HELD, MEETINGS = 200_000, 500_000, 100_000
+LINK_COLUMNS = ["query_class", "match_class", "offset", "votes", "overlap", "bit_errors"]
 #: Samples in an analysis window of audio, their step, and the range of pitches in Hz.
 FFT, STEP, LOW_HZ, HIGH_HZ = 4096, 1365, 28.0, 3520.0
 
@@ -98,37 +105,126 @@ def fingerprint_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: st
     return table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>")).mapInArrow(run, "id long, fingerprint array<int>")
 
 
-def errors(a: Column, b: Column, offset: Column) -> tuple[Column, Column]:
-    """Places that overlap when place i of a meets place i - offset of b, and the bits that differ there."""
-    overlap = F.least(F.size(a) - F.greatest(offset, F.lit(0)), F.size(b) - F.greatest(-offset, F.lit(0)))
-    x = F.slice(a, F.greatest(offset, F.lit(0)) + 1, F.greatest(overlap, F.lit(0)))
-    y = F.slice(b, F.greatest(-offset, F.lit(0)) + 1, F.greatest(overlap, F.lit(0)))
-    return overlap, F.aggregate(F.zip_with(x, y, lambda m, n: F.bit_count(m.bitwiseXOR(n).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), F.lit(0), lambda s, v: s + v)
-
-
-def align(prints: DataFrame, queries: Column, max_error: float = MAX_ERROR) -> DataFrame:
+class Prints:
+    """Fingerprints laid end to end, with the votes' keys: a place's integer, and signs from WIDTH places later."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table):
+        table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
+        prints = table.column("fingerprint").combine_chunks()
+        prints = prints if isinstance(prints, pa.Array) else pa.concat_arrays(prints.chunks)
+        self.names = table.column("class").to_numpy()
+        self.size = prints.value_lengths().to_numpy().astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = prints.flatten().to_numpy().view(np.uint32)
+        whole = np.repeat(np.arange(len(self.size)), self.size)
+        place = np.arange(len(self.flat)) - self.start[whole]
+        at = np.flatnonzero(place < self.size[whole] - WIDTH)
+        later = np.uint64(sum(2 << (2 * i) for i in range(SIGNS)))
+        self.keys = self.flat[at].astype(np.uint64) | ((self.flat[at + WIDTH].astype(np.uint64) & later) << np.uint64(32))
+        self.row, self.place = whole[at].astype(np.int32), place[at].astype(np.int32)
+
+    def sort(self) -> Prints:
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.row, self.place = self.keys[order], self.row[order], self.place[order]
+        return self
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def best_offsets(asked: Prints, rows: Prints, low: np.ndarray, size: np.ndarray, keys: slice) -> tuple[np.ndarray, ...]:
+    """Of some keys of rows (all those of a row): asked row, row, offset and votes where most equal keys vote for it, of equals the smallest shift."""
+    met = spread(low[keys], size[keys])
+    query, row = asked.row[met], np.repeat(rows.row[keys], size[keys])
+    offset = asked.place[met] - np.repeat(rows.place[keys], size[keys])
+    order = np.lexsort((offset, row, query))
+    query, row, offset = query[order], row[order], offset[order]
+    first = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (row[1:] != row[:-1]) | (offset[1:] != offset[:-1])]) if len(query) else np.zeros(0, np.int64)
+    votes = np.diff(np.r_[first, len(query)])
+    query, row, offset = query[first], row[first], offset[first]
+    enough = votes >= MIN_VOTES
+    query, row, offset, votes = query[enough], row[enough], offset[enough], votes[enough]
+    order = np.lexsort((offset, -np.abs(offset), votes, row, query))
+    query, row, offset, votes = query[order], row[order], offset[order], votes[order]
+    last = np.r_[(query[1:] != query[:-1]) | (row[1:] != row[:-1]), True] if len(query) else np.zeros(0, bool)
+    return query[last], row[last], offset[last].astype(np.int64), votes[last]
+
+
+def matches(asked: Prints, rows: Prints, max_error: float) -> Iterator[pa.RecordBatch]:
+    """The links of rows to the sorted asked ones, some MEETINGS equal keys at a time."""
+    low = np.searchsorted(asked.keys, rows.keys, "left")
+    size = np.searchsorted(asked.keys, rows.keys, "right") - low
+    total = np.cumsum(size)
+    ends = np.flatnonzero(np.r_[rows.row[1:] != rows.row[:-1], True]) + 1
+    met, at = total[ends - 1], 0
+    while at < len(rows.keys):
+        done = total[at - 1] if at else 0
+        to = ends[max(np.searchsorted(met, done + MEETINGS, "right") - 1, np.searchsorted(ends, at, "right"))]
+        query, row, offset, votes = best_offsets(asked, rows, low, size, slice(at, to))
+        at = to
+        a, b = np.maximum(offset, 0), np.maximum(-offset, 0)
+        overlap = np.minimum(asked.size[query] - a, rows.size[row] - b)
+        good = (overlap >= MIN_OVERLAP) & (asked.names[query] != rows.names[row])
+        query, row, offset, votes, a, b, overlap = (x[good] for x in (query, row, offset, votes, a, b, overlap))
+        if not len(query):
+            continue
+        bits = np.bitwise_count(asked.flat[spread(asked.start[query] + a, overlap)] ^ rows.flat[spread(rows.start[row] + b, overlap)])
+        bits = np.add.reduceat(bits.astype(np.int64), np.cumsum(overlap) - overlap)
+        good = bits <= max_error * 32 * overlap
+        found = (asked.names[query], rows.names[row], offset.astype(np.int32), votes.astype(np.int64), overlap.astype(np.int32), bits.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in found], LINK_COLUMNS)
+
+
+def align(prints: DataFrame, queries: Column, max_error: float = MAX_ERROR, block: int = BLOCK) -> DataFrame:
     """Classes of recordings that match a query's class: query_class, match_class, offset, votes, overlap, bit_errors.
 
     prints: (id, fingerprint); queries: a condition on id. Recordings of equal
     fingerprints are one class, named by its least id (`members` lists
     them), so copies are compared once; a class matches itself. Fingerprints
     shorter than MIN_OVERLAP, and null ids, match nothing. Of offsets with equally many votes the smallest shift counts.
+
+    The queries' keys are sorted in blocks, and every class is looked up in
+    each block. Equal keys are counted where they meet: only links leave a task.
     """
+    spark, folder = prints.sparkSession, c.scratch(prints.sparkSession, "align")
     rows = prints.where((F.size("fingerprint") >= MIN_OVERLAP) & F.col("id").isNotNull())
-    classes = rows.groupBy("fingerprint").agg(F.min("id").alias("class"), F.max(queries.cast("int")).alias("asked"))
-    n = F.size("fingerprint") - WIDTH
-    later = F.lit(sum(2 << (2 * i) for i in range(SIGNS))).cast("long")
-    key = F.zip_with(F.slice("fingerprint", 1, n), F.slice("fingerprint", WIDTH + 1, n), lambda a, b: a.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).bitwiseOR(F.shiftleft(b.cast("long").bitwiseAND(later), 32)))
-    keys = classes.select("class", "asked", F.posexplode(key).alias("place", "key"))
-    asked = keys.where("asked = 1").select(F.col("class").alias("query_class"), F.col("place").alias("query_place"), "key")
-    votes = asked.join(keys.select("class", "place", "key"), "key").where("query_class != class").groupBy("query_class", "class", (F.col("query_place") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    best = votes.groupBy("query_class", "class").agg(F.max(F.struct("votes", -F.abs("offset"), F.col("offset").alias("offset"))).alias("top")).select("query_class", "class", "top.votes", "top.offset")
-    prints_of = classes.select("class", "fingerprint")
-    both = best.join(prints_of.select(F.col("class").alias("query_class"), F.col("fingerprint").alias("a")), "query_class").join(prints_of.select("class", F.col("fingerprint").alias("b")), "class")
-    overlap, bits = errors(F.col("a"), F.col("b"), F.col("offset"))
-    found = both.withColumn("overlap", overlap).withColumn("bit_errors", bits).where((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_errors") <= max_error * 32 * F.col("overlap"))).select("query_class", F.col("class").alias("match_class"), "offset", "votes", "overlap", "bit_errors")
+    classes = c.stored(rows.groupBy("fingerprint").agg(F.min("id").alias("class"), F.max(queries.cast("int")).alias("asked")), f"{folder}/classes")
+    asked = classes.where("asked = 1")
+    blocks = -(-asked.count() // block)
+    c.stored(asked.select("class", "fingerprint", F.pmod(F.xxhash64("class"), F.lit(max(blocks, 1))).cast("int").alias("block")).repartition(max(blocks, 1), "block"), f"{folder}/asked", "block")
+
+    def load(number: int) -> Prints | None:
+        files, path = c.filesystem(f"{folder}/asked/block={number}")
+        if files.get_file_info(path).type == pafs.FileType.NotFound:
+            return None
+        return Prints(pq.read_table(path, filesystem=files, columns=["class", "fingerprint"], partitioning=None)).sort()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, held, n, index = None, [], 0, None
+
+        def look() -> Iterator[pa.RecordBatch]:
+            nonlocal have, index
+            for number in range(blocks):
+                if have != number:
+                    index = None
+                    index, have = load(number), number
+                for some in held if index is not None else ():
+                    yield from matches(index, Prints(some), max_error)
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                yield from look()
+                held, n = [], 0
+        if n:
+            yield from look()
+
+    found = classes.select("class", "fingerprint").mapInArrow(run, "query_class long, match_class long, offset int, votes long, overlap int, bit_errors int")
     # with itself a class agrees in every place, so it need not meet itself there
-    own = classes.where("asked = 1").select(F.col("class").alias("query_class"), F.col("class").alias("match_class"), F.lit(0).alias("offset"), n.cast("long").alias("votes"), F.size("fingerprint").alias("overlap"), F.lit(0).alias("bit_errors"))
+    own = asked.select(F.col("class").alias("query_class"), F.col("class").alias("match_class"), F.lit(0).alias("offset"), (F.size("fingerprint") - WIDTH).cast("long").alias("votes"), F.size("fingerprint").alias("overlap"), F.lit(0).alias("bit_errors"))
     return found.unionByName(own)
 
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,46 @@ def test_op8_returns_every_match(spark, tmp_path):
     assert len(set(members)) == len(members) and len(links) + len(members) == len(got)
     assert {(i, j, *x[2:]) for x in links for i, a in members if a == x[0] and i % 20 == 0 for j, b in members if b == x[1]} == want
     assert max(Counter(i for i, *_ in want).values()) > 2
+
+
+def plain_links(prints, asked):
+    """What align returns of distinct fingerprints, in plain Python."""
+    later, found = sum(2 << (2 * i) for i in range(chroma.SIGNS)), []
+    keys = {i: [(x[t], x[t + chroma.WIDTH] & later) for t in range(len(x) - chroma.WIDTH)] for i, x in prints.items()}
+    for i in asked:
+        for j in prints:
+            votes = Counter(s - t for s, x in enumerate(keys[i]) for t, y in enumerate(keys[j]) if x == y)
+            if votes:
+                n, _, offset = max((n, -abs(o), o) for o, n in votes.items())
+                x, y = prints[i][max(offset, 0) :], prints[j][max(-offset, 0) :]
+                overlap = min(len(x), len(y))
+                bits = sum((a ^ b).bit_count() for a, b in zip(x, y, strict=False))
+                if overlap >= chroma.MIN_OVERLAP and bits <= chroma.MAX_ERROR * 32 * overlap:
+                    found.append((i, j, offset, n, overlap, bits))
+    return sorted(found)
+
+
+@pytest.mark.parametrize(("block", "meetings", "held"), [(200_000, 100_000, 500_000), (7, 1, 10), (1, 60, 1)])
+def test_near_copies_of_any_length_in_blocks(spark, monkeypatch, block, meetings, held):
+    monkeypatch.setattr(chroma, "MEETINGS", meetings)  # of this process: workers have their own
+    monkeypatch.setattr(chroma, "HELD", held)
+    chance = np.random.default_rng(9)
+    base, same, prints = [int(x) for x in chance.integers(0, 2**32, 50)], int(chance.integers(0, 2**32)), {}
+    for i in range(40):
+        start, size = (int(x) for x in (chance.integers(0, 12), chance.integers(15, 39)))
+        prints[i] = [x ^ (1 << int(chance.integers(0, 32)) if chance.random() < 0.4 else 0) for x in base[start : start + size]]
+    prints |= {40 + i: [same] * (16 + i) for i in range(4)} | {50: base[:30] + [same] * 9}
+    kept = {i: x for i, x in prints.items() if len(x) >= chroma.MIN_OVERLAP}
+    table = spark.createDataFrame([(i, np.array(x, np.uint32).view(np.int32).tolist()) for i, x in prints.items()], "id long, fingerprint array<int>")
+    want = plain_links(kept, [i for i in kept if i % 2 == 0])
+    assert sum(a != b for a, b, *_ in want) > 100
+    assert sorted(tuple(r) for r in chroma.align(table, F.col("id") % 2 == 0, block=block).collect()) == want
+    laid = [chroma.Prints(pa.table({"class": ids, "fingerprint": pa.array([np.array(kept[i], np.uint32).view(np.int32) for i in ids], pa.list_(pa.int32()))})) for ids in ([i for i in kept if i % 2 == 0], list(kept))]
+    assert sorted(tuple(r.values()) for b in chroma.matches(laid[0].sort(), laid[1], chroma.MAX_ERROR) for r in b.to_pylist()) == [r for r in want if r[0] != r[1]]
+
+
+def test_meetings_of_near_copies_are_no_rows(spark):
+    table = spark.createDataFrame([(i, [i, *range(30)]) for i in range(40)], "id long, fingerprint array<int>")
+    found = chroma.align(table, F.lit(True))
+    assert found.count() == 40 * 40
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
