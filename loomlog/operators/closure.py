@@ -21,6 +21,8 @@ from loomlog.errors import LoomError
 
 #: Edges of the predicate (some 100 bytes each) up to which one task takes all of them.
 SMALL_EDGES, MAX_DEPTH = 1_000_000, 1000
+#: Nodes of symmetric links whose roots are broadcast; more are joined by shuffles.
+SMALL_NODES = 500_000
 
 
 def _steps(edges: DataFrame, predicate: str) -> DataFrame:
@@ -164,9 +166,14 @@ def _components(links: DataFrame, folder: str) -> DataFrame:
         hooks = longer.select("node", "root")
         if longer.where("moved").isEmpty():
             break
-    of = lambda end: hooks.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-    rest = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b")
-    rest = storage.stored(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/rest")
+    few = _is_small(hooks, SMALL_NODES)  # links can outnumber their nodes by far, and then should not move to meet them
+
+    def named(rows: DataFrame, end: str) -> DataFrame:
+        of = hooks.select(F.col("node").alias(end), F.col("root").alias("__root"))
+        return rows.join(F.broadcast(of) if few else of, end, "left").withColumn(end, F.coalesce("__root", end)).select("a", "b").distinct()
+
+    rest = named(named(links, "b"), "a").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = storage.stored(rest.distinct(), f"{folder}/rest")
     nodes = hooks.unionAll(hooks.select(F.col("root").alias("node"), "root"))
     if rest.isEmpty():
         found = nodes.withColumnRenamed("root", "component")

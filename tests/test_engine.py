@@ -300,8 +300,10 @@ def test_closure_of_symmetric_pairs_with_facts_and_nulls(spark):
     assert rules.Program(catalog, text.parse_program(source)).rows("linked", 2).count() == len(got)
 
 
+@pytest.mark.parametrize("nodes", [0, 1000])
 @pytest.mark.parametrize("kind", ["path", "star", "trees"])
-def test_components_of_hard_shapes(spark, kind):
+def test_components_of_hard_shapes(spark, monkeypatch, kind, nodes):
+    monkeypatch.setattr(closure, "SMALL_NODES", nodes)
     chance = random.Random(kind)
     name = chance.sample(range(1000), 200)
     links = {"path": [(name[i], name[i + 1]) for i in range(150)], "star": [(1000, i) for i in name], "trees": [(name[i], name[chance.randrange(i // 20 * 20, i)]) for i in range(200) if i % 20]}[kind]
